@@ -2,8 +2,9 @@
 
 Every scan partition yields one run: its digests, each with the smallest identifier and the number of rows. Runs are
 merged `fan_in` at a time in rounds; a round's group key is (digest, number of the merged run), so each round is spread
-over all tasks and a digest that holds a third of all rows sends at most fan_in rows to any one of them. The last round
-leaves one row a digest. SHA-256 alone never decides: the length and a second hash of the normalised text travel with it
+over all tasks and a digest that holds a third of all rows sends at most fan_in rows to any one of them. Every level's runs
+are written sorted to the shared folder, so a lost executor costs no earlier round. The last round leaves one row a
+digest. SHA-256 alone never decides: the length and a second hash of the normalised text travel with it
 and must agree too.
 """
 
@@ -46,8 +47,8 @@ def tree_merge(runs: DataFrame, id_col: str, fan_in: int = 32) -> DataFrame:
             merged.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
             .groupBy(*_KEY, "_run")
             .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-            .sortWithinPartitions(*_KEY)
         )
+        merged = written(merged.sortWithinPartitions(*_KEY, "_run"), "runs")
         if n_runs == 1:
             return merged.drop("_run")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, language, mixing, packing, pseudonyms, secrets, warc
+from . import caps, exact_dedup, html_text, language, mixing, near_dedup, packing, pseudonyms, secrets, warc
 from .common import SPACE
 
 
@@ -35,6 +35,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,10 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonyms(_table(spark, sf_dir, "documents"), key=spark.conf.get("inkfathom.pseudonym.key", "only for tests: set inkfathom.pseudonym.key"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -56,9 +64,11 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_html_text": op4_html_text,
+    "op5_near_dedup": op5_near_dedup,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,
     "op8_pseudonyms": op8_pseudonyms,
+    "op9_near_vectors": op9_near_vectors,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -78,6 +88,31 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g'
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW same AS (PARTITION BY norm)"""
 
+_NEAR_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT doc_id, any_value(n.n) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id"""
+
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, len(embedding) AS d FROM embeddings),
+ok AS (SELECT vec_id, label, x, d FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND d > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.label = q.label AND p.d = q.d AND p.vec_id <> q.vec_id WHERE list_cosine_similarity(p.x, q.x) >= 0.98),
+r(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id),
+k AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)"""
+
 #: Packing, mixing, extraction, language and pseudonyms have none: random draws, trained models, tokenizers and keyed
 #: hashes are beyond SQL; tests/llm holds them against round trips, brute force and held-out accuracy.
-ORACLE_SQL = {"op2_warc": _WARC_SQL, "op6_secrets": secrets.spans_sql(), "op10_exact_dedup": _EXACT_SQL}
+ORACLE_SQL = {
+    "op2_warc": _WARC_SQL,
+    "op5_near_dedup": _NEAR_SQL,
+    "op6_secrets": secrets.spans_sql(),
+    "op9_near_vectors": _VECTOR_SQL,
+    "op10_exact_dedup": _EXACT_SQL,
+}
