@@ -1,71 +1,52 @@
-"""What the corpus operators share: the cluster's scratch folder, cut lineage, running sums."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ..sources.shared import running, scratch, shared_root, written
+
+__all__ = ["SPACE", "WORD", "by_group", "running", "scratch", "shared_root", "written"]
 
 #: ASCII white space as the contracts write it, for Java's and RE2's engines alike.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_root: list[str] = []
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not _own_root:
-        _own_root.append("file://" + tempfile.mkdtemp(prefix="inkfathom-"))
-    return _own_root[0]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_root(spark)}/inkfathom/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-@atexit.register
-def _remove() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended: the folder goes with the cluster's scratch space
-            return
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: lineage is cut, and a lost executor loses none of it."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def document_key(*cols: str) -> list[Column]:
-    return [F.col(c) for c in cols]
-
-
-def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Adds, for each (new name, column) in sums, the sum over all rows before this one in `order`.
 
-    The order is cut into ranges; each range is summed by itself and shifted by the totals of those before it
-    (one row a range), so no task sees all rows.
-    """
-    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in sums])
-    out = ranged.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b_{n}") for n, c in sums.items()]).join(F.broadcast(shifts), "_range")
-    return out.select(*df.columns, *[(F.col(f"_b_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums])
+def by_group(df: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """f over each group of equal keys (longs, not null), as applyInArrow, for very many groups of a bounded size: groups
+    are cut out of the sorted partition as it streams by, so a small one costs no message of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        done: list[pa.Table] = []
+        last = None
+
+        def results() -> Iterator[pa.RecordBatch]:
+            for b in pa.concat_tables(done).combine_chunks().to_batches() if done else ():
+                yield b
+            done.clear()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = np.stack([b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in keys])
+            starts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist()]
+            for i, j in zip(starts, [*starts[1:], b.num_rows]):
+                now = tuple(k[:, i].tolist())
+                if held and now != last:
+                    done.append(f(pa.Table.from_batches(held)))
+                    held = []
+                    if len(done) >= 500:
+                        yield from results()
+                held.append(b.slice(i, j - i))
+                last = now
+        if held:
+            done.append(f(pa.Table.from_batches(held)))
+        yield from results()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

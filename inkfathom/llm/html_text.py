@@ -163,6 +163,20 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, length: int, min_pages: int)
     return np.cumsum(edges[:n]) > 0
 
 
+def _unique(words: list[str], gone: np.ndarray, min_tokens: int) -> list[str]:
+    """A block's words without its covered runs. A run counts where it is the whole block or long enough by itself: a
+    repeated substring that starts or ends in a neighbouring block takes no few words of this one with it."""
+    if gone.all() or not gone.any():
+        return [] if gone.any() else words
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    out, at = [], 0
+    for a, b in zip(edges[::2], edges[1::2]):
+        if b - a >= min_tokens:
+            out += words[at:a]
+            at = b
+    return out + words[at:]
+
+
 def main_texts(pages: list[list[Block]], min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES) -> list[str]:
     """The main text of each of one host's pages."""
     vocabulary: dict[str, int] = {}
@@ -179,7 +193,7 @@ def main_texts(pages: list[list[Block]], min_tokens: int = MIN_TOKENS, min_pages
             continue
         kept, i = [], 0
         for ws in page_words:
-            run, i = [w for w, g in zip(ws, gone[i : i + len(ws)]) if not g], i + len(ws)
+            run, i = _unique(ws, gone[i : i + len(ws)], min_tokens), i + len(ws)
             if run:
                 kept.append(" ".join(run))
         out.append("\n\n".join(kept or [s for s, _ in page]))  # a page of nothing else is its own text
