@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_group, written
 from .components import Forest, components
 
 COSINE = 0.98
@@ -118,7 +118,10 @@ def _linked_in(cosine: float):
             if not link.any():
                 continue
             # pairs that already share an earlier filter are counted there
-            lists = [k[k < here] for k in (np.array(table["keys"][int(i)].values) for i in rows)]
+            column = table["keys"].combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            values, ends = np.array(column.values), np.array(column.offsets)
+            lists = [k[: np.searchsorted(k, here)] for k in (values[ends[i] : ends[i + 1]] for i in rows)]
             names, column = np.unique(np.concatenate(lists), return_inverse=True)
             owner = np.repeat(np.arange(len(rows)), [len(k) for k in lists])
             common = np.flatnonzero(np.bincount(column, minlength=len(names)) > 1)
@@ -162,7 +165,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     members = members.select("k", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id")
     members = members.join(reps.join(decoded, "id"), "id").select("k", "lo", "hi", "chunk", "id", "label", "vector", "size", "keys")
-    found = written(members.groupBy("k", "lo", "hi").applyInArrow(_linked_in(cosine), "a bigint, b bigint, links bigint"), "found")
+    found = written(by_group(members, ["k", "lo", "hi"], _linked_in(cosine), "a bigint, b bigint, links bigint"), "found")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     top = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
     of = classes.join(counts, "rep", "left").join(top, "rep", "left").select("label", "vector", "rep", "size", "links", "component")
