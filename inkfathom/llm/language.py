@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 #: The bound on labelled rows that are fitted, shared evenly by the labels.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 3_000
 N_GRAM_BITS, WORD_BITS = 11, 11
 PART_CHARS = 1_000_000
 #: Family of a language by its ISO 639-1 code. A label not listed is a family of its own.
@@ -80,18 +80,17 @@ def features(text: str | None) -> np.ndarray | None:
     return x.astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 300) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 120) -> np.ndarray:
     """Weights, the bias last, of a linear SVM (squared hinge loss, classes weighing alike) by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = v = np.zeros(x.shape[1], np.float32)
-    rate = 1 / (2 * 2 + strength)  # rows have a squared length of 2
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
+    rate = 1 / (2 * 2 + strength)  # rows have a squared length of 2, bias included
     for i in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - rate * (strength * v - 2 * x.T @ (weight * y * slack))
+        pull = weight * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        new = v - rate * (strength * v - 2 * np.append(pull @ x, pull.sum()))
         v = new + (i / (i + 3)) * (new - w)
-        w = new
-    return w.astype(np.float32)
+        w = new.astype(np.float32)
+    return w
 
 
 @dataclass
@@ -169,7 +168,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     sample.sort(key=lambda r: (r["id"] is None, r["id"], r["label"], r["x"]))
     if not sample:
         return Model([], np.zeros((0, 0), np.float32), {}, {})
-    return fit(np.array([np.frombuffer(r["x"], np.float16) for r in sample], np.float32), [r["label"] for r in sample])
+    x = np.empty((len(sample), len(sample[0]["x"]) // 2), np.float32)
+    for i, r in enumerate(sample):
+        x[i] = np.frombuffer(r["x"], np.float16)
+    return fit(x, [r["label"] for r in sample])
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
