@@ -31,7 +31,10 @@ def q(s: str) -> str:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents; dealt to all cores where the table has fewer splits than those (small files), as the rules cost
+    far more than the shuffle. Large tables are read as they are."""
+    t, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return t if t.rdd.getNumPartitions() >= cores else t.repartition(cores)
 
 
 def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
