@@ -8,7 +8,8 @@ every substring of at least `min_tokens` tokens that stands on `min_pages` disti
 go, the unique runs between them stay.
 
 A host's pages are dealt into groups of a bounded number of characters, so that a host with a third of all pages is as
-many groups; the sizes that decide are counted over all pages.
+many groups, each with a suffix array of its own. Where a host of several groups has pages that repetition decides, the
+windows of `min_tokens` tokens are counted over all of its pages as well, so the groups do not show in the result.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+from .near_dedup import Words, windows
+
 MIN_TOKENS, MIN_PAGES = 12, 3
 GROUP_CHARS = 400_000
 #: Up to so many hosts of several groups (rows of about 60 bytes) their sizes are broadcast; beyond, joined by shuffle.
@@ -177,20 +182,29 @@ def _unique(words: list[str], gone: np.ndarray, min_tokens: int) -> list[str]:
     return out + words[at:]
 
 
-def main_texts(pages: list[list[Block]], min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES) -> list[str]:
-    """The main text of each of one host's pages."""
+def window_keys(page: list[Block], host: str, length: int, words: Words) -> np.ndarray:
+    """A key of every `length` tokens of the page's stream, in order, alike only on the same host."""
+    h = np.array([words[w.encode()] for s, _ in page for w in s.split()], np.uint64)
+    return windows(h, length, xxhash.xxh3_64_intdigest(host.encode())).view(np.int64)
+
+
+def main_texts(pages: list[list[Block]], min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, host: str = "", repeats: np.ndarray | None = None) -> list[str]:
+    """The main text of each of one host's pages. repeats: keys of windows known to be boilerplate from pages not given."""
     vocabulary: dict[str, int] = {}
     words = [[b[0].split() for b in page] for page in pages]
     streams = [[vocabulary.setdefault(w, len(vocabulary)) for ws in page for w in ws] for page in words]
     sizes = [len(s) for s in streams]
     tokens = np.array([t for s in streams for t in s], np.int64)
     covered = repeated(tokens, np.repeat(np.arange(len(pages)), sizes), min_tokens, min_pages)
-    out, at = [], 0
+    out, at, hashes = [], 0, Words()
     for page, page_words, size in zip(pages, words, sizes):
         gone, at = covered[at : at + size], at + size
         if any(in_main for _, in_main in page):
             out.append("\n\n".join(s for s, in_main in page if in_main))
             continue
+        if repeats is not None and len(repeats):
+            for i in np.flatnonzero(np.isin(window_keys(page, host, min_tokens, hashes), repeats)):
+                gone[i : i + min_tokens] = True
         kept, i = [], 0
         for ws in page_words:
             run, i = _unique(ws, gone[i : i + len(ws)], min_tokens), i + len(ws)
@@ -200,6 +214,32 @@ def main_texts(pages: list[list[Block]], min_tokens: int = MIN_TOKENS, min_pages
     return out
 
 
+def _host_repeats(docs: DataFrame, min_tokens: int, min_pages: int) -> DataFrame:
+    """(host, group, key) of windows on min_pages pages of a host or more, for the pages of docs (host, group, html) that
+    repetition decides. Only hosts with such pages are counted; each page counts a window once."""
+
+    def keys(undecided: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = Words()
+            for b in batches:
+                for host, group, html in zip(*(c.to_pylist() for c in b.columns)):
+                    page = blocks(html)
+                    if undecided and any(m for _, m in page):
+                        continue
+                    k = np.unique(window_keys(page, host, min_tokens, words))
+                    if len(k):
+                        yield pa.RecordBatch.from_arrays([pa.array([host] * len(k)), pa.array([group] * len(k), pa.int64()), pa.array(k)], names=["host", "group", "key"])
+
+        return run
+
+    kinds = "host string, group bigint, key bigint"
+    docs = docs.select("host", "group", "html")
+    targets = written(docs.mapInArrow(keys(True), kinds).distinct(), "windows")
+    hosts = targets.select("host").distinct()
+    counts = docs.join(hosts, "host", "left_semi").mapInArrow(keys(False), kinds).groupBy("key").count().filter(F.col("count") >= min_pages)
+    return targets.join(counts.select("key"), "key").select("host", "group", "key")
+
+
 def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, group_chars: int = GROUP_CHARS) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
@@ -213,7 +253,10 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes
     docs = docs.join(sizes, F.col("host") == F.col("_host"), "left")
     group = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce(F.col("groups"), F.lit(1)))
-    docs = docs.select("page_id", "url", "host", group.alias("group"), "html")
+    many = F.col("groups").isNotNull().alias("many")
+    docs = docs.select("page_id", "url", "host", group.alias("group"), "html", many)
+    repeats = _host_repeats(docs.filter("many"), min_tokens, min_pages)
+    docs = docs.drop("many")
     kind = docs.schema["page_id"].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +266,13 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN
             mains = pa.array([[m for _, m in x] for x in found], pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], texts, mains], names=["page_id", "url", "host", "group", "texts", "mains"])
 
-    def decide(table: pa.Table) -> pa.Table:
+    def decide(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in (table.schema.field("page_id"), table.schema.field("url"), pa.field("text", pa.string()), pa.field("n_chars", pa.int64()))})
         table = table.combine_chunks()
         found = [list(zip(t, m)) for t, m in zip(table["texts"].to_pylist(), table["mains"].to_pylist())]
-        texts = main_texts(found, min_tokens, min_pages)
+        texts = main_texts(found, min_tokens, min_pages, table["host"][0].as_py(), np.array(known["key"], np.int64))
         return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
     parsed = docs.mapInArrow(parse, f"page_id {kind}, url string, host string, group bigint, texts array<string>, mains array<boolean>")
-    return parsed.groupBy("host", "group").applyInArrow(decide, f"page_id {kind}, url string, text string, n_chars bigint")
+    return parsed.groupBy("host", "group").cogroup(repeats.groupBy("host", "group")).applyInArrow(decide, f"page_id {kind}, url string, text string, n_chars bigint")

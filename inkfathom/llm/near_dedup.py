@@ -55,17 +55,21 @@ class Words(dict):
         return h
 
 
+def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """One hash for each k consecutive word hashes, in order."""
+    total = np.full(max(len(h) - k + 1, 0), (k + seed) % (1 << 64), np.uint64)
+    for i in range(k):
+        total = _scrambled(total + h[i : i + len(total)] * _MIX[i % len(_MIX)])
+    return total
+
+
 def shingles(text: str | None, n: int, words: Words) -> np.ndarray:
     """The sorted distinct hashes of a text's n-word shingles; of the whole sequence where it has fewer words."""
     found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not found:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    k = min(n, len(h))
-    total = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        total = _scrambled(total + h[i : len(h) - k + 1 + i] * _MIX[i % len(_MIX)])
-    return np.unique(total)
+    return np.unique(windows(h, min(n, len(h))))
 
 
 def _multipliers() -> np.ndarray:

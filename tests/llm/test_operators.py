@@ -187,6 +187,23 @@ def test_extraction(spark):
     assert got[None] == got[99] == ("", 0)
 
 
+def test_extraction_does_not_depend_on_groups(spark):
+    """A notice on one page of each of several groups goes as it does where all pages are one group."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    notice = " ".join(word() for _ in range(14))
+    rows = []
+    for i in range(60):
+        own = [" ".join(word() for _ in range(30)) for _ in range(3)]
+        parts = [own[0], *([notice] if i % 9 == 0 else []), own[1], *([f"{own[2]} {notice}"] if i % 13 == 1 else [])]
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        rows.append((i, f"http://{'a' if i < 50 else 'b'}.example/{i}", f"<article>{body}</article>" if i % 18 == 0 else f"<div>{body}</div>"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    small, large = ({x.page_id: x.text for x in html_text.extract(pages, group_chars=g).collect()} for g in (700, 10_000_000))
+    assert small == large and len(small) == 60
+    assert all((notice in t) == (i % 18 == 0 or i >= 50) for i, t in large.items() if i % 9 == 0 or i % 13 == 1)
+
+
 # --- near duplicates ---
 def brute_components(nodes, linked):
     up = {i: i for i in nodes}
