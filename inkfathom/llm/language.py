@@ -36,10 +36,15 @@ FAMILIES = {
     "semitic": "am ar he mt",
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a Unicode letter: of those in words, numerals such as ½ are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def _counts(text: str) -> np.ndarray | None:
     """Hashed counts of a whole text; None without a letter."""
     out, any_letter = np.zeros((1 << N_GRAM_BITS) + (1 << WORD_BITS)), False
@@ -70,7 +75,7 @@ def _counts(text: str) -> np.ndarray | None:
 
 
 def features(text: str | None) -> np.ndarray | None:
-    counts = _counts(text) if text and _LETTER.search(text) else None
+    counts = _counts(text) if text and has_letter(text) else None
     if counts is None:
         return None
     x = np.sqrt(counts)
