@@ -6,17 +6,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.shared import running, scratch, shared_root, written
 
-__all__ = ["SPACE", "WORD", "by_group", "running", "scratch", "shared_root", "written"]
+__all__ = ["SPACE", "WORD", "by_group", "carried", "running", "scratch", "shared_root", "written"]
 
 #: ASCII white space as the contracts write it, for Java's and RE2's engines alike.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def carried(df: DataFrame, **named: Column) -> DataFrame:
+    """df's rows as one struct, `_row`, beside the named columns: whatever df's columns are called, none clashes with an
+    operator's own. select("_row.*") gives df's rows back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in named.items()])
+
+
 def by_group(df: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """f over each group of equal keys (longs, not null), as applyInArrow, for very many groups of a bounded size: groups
     are cut out of the sorted partition as it streams by, so a small one costs no message of its own."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, carried, written
 
 _KEY = ["_sha", "_len", "_alt"]
 
@@ -75,7 +75,7 @@ def unique_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """df without the rows that exact_dedup drops (one row of each repeated row stays); df's own columns."""
     lost = exact_dedup(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_lost")).distinct()
     again = exact_dedup_repeats(df, id_col, text_col)
-    out = df.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+    out = carried(df, _id=F.col(id_col)).join(lost, F.col("_id").eqNullSafe(F.col("_lost")), "left_anti").select("_row.*")
     return out if again is None else again(out)
 
 

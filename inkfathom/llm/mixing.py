@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, running, written
+from .common import WORD, carried, running, written
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -102,13 +102,13 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     plan = mix(df, **options).filter("taken > 0").select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     plan = plan.groupBy("_id", "_size").agg(F.sum("_taken").alias("_taken"), F.count("*").alias("_rows"))
-    docs = df.withColumn("_own", word_count(F.col(text_col)))
-    both = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
+    docs = carried(df, _own_id=F.col(id_col), _text=F.col(text_col), _own=word_count(F.col(text_col)))
+    both = docs.join(plan, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
     mean = F.floor(F.col("_taken") / F.col("_rows"))
     both = both.withColumn("_full", F.floor(mean / F.col("_size"))).withColumn("_rest", mean - F.col("_full") * F.col("_size"))
     copies = both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_full") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
-    head = F.regexp_extract(F.col(text_col), r"^[\x20\x09-\x0D]*", 0)
-    words = F.expr(f"regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0)")
+    head = F.regexp_extract("_text", r"^[\x20\x09-\x0D]*", 0)
+    words = F.expr("regexp_extract_all(_text, '[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0)")
     cut = F.concat(head, F.array_join(F.slice(words, F.lit(1), F.col("_rest").cast("int")), ""))
-    text = F.when(F.col("_copy") <= F.col("_full"), F.col(text_col)).otherwise(cut)
-    return copies.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns])
+    text = F.when(F.col("_copy") <= F.col("_full"), F.col("_text")).otherwise(cut)
+    return copies.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in df.columns])

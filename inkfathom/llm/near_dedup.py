@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import carried, written
 from .components import Forest, components
 
 ROWS, BANDS = 5, 28
@@ -277,4 +277,4 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """df without the rows that near_dedup does not keep; df's own columns."""
     lost = near_dedup(df, id_col, text_col, words, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_lost")).distinct()
-    return df.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+    return carried(df, _id=F.col(id_col)).join(lost, F.col("_id").eqNullSafe(F.col("_lost")), "left_anti").select("_row.*")

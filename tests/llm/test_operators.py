@@ -52,6 +52,17 @@ def test_exact_dedup(spark):
     assert sorted(norm(r.text) for r in kept) == sorted({norm(t) for _, t in AWKWARD})
 
 
+def test_columns_named_like_inner_ones_stay(spark):
+    names = ["doc_id", "text", "source", "_lost", "_id", "_row", "_own", "_size", "_taken", "_copy", "_text"]
+    rows = [(i, t, "s", *"abcdefgh") for i, t in [(1, "a b c"), (2, "a  b c"), (3, "d e f g")]]
+    table = spark.createDataFrame(rows, names)
+    for run, ids in ((exact_dedup.unique_documents, {1, 3}), (near_dedup.distinct_documents, {1, 3}), (mixing.mixed_documents, {1, 2, 3})):
+        out = run(table)
+        assert out.columns == names
+        got = out.collect()
+        assert {r.doc_id for r in got} == ids and all(tuple(r)[3:] == tuple("abcdefgh") for r in got)
+
+
 # --- mixing ---
 def plain_targets(sizes, weights=mixing.WEIGHTS, most=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -140,6 +151,14 @@ def test_warc(spark, tmp_path):
     assert warc.archived_captures(pages.limit(0)).count() == 0
 
 
+def test_payloads_that_look_like_record_ends(spark):
+    ends = ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n\r\n", "\r\n\r\nWARC/1.1", "\r\n\r\nWARC/1.1\r\nX-Capture-Set: 0"]
+    payloads = [f"{i}" * (1 + i * 37 % 400) + e + e for i in range(400) for e in ends]
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", p) for i, p in enumerate(payloads)], "page_id bigint, url string, html string").coalesce(2)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.archived_captures(pages).collect()}
+    assert got == {i: (len(p.encode()), hashlib.sha256(p.encode()).hexdigest()) for i, p in enumerate(payloads)}
+
+
 def test_loser_tree():
     rnd = random.Random(2)
     for k in (0, 1, 2, 3, 7, 16):
@@ -309,6 +328,7 @@ def test_language(spark):
     assert np.mean([got[i].lang_pred == truth[i] for i in out]) > 0.98 and all(0 <= r.score <= 1 for r in got.values())
     r = {x.doc_id: x for x in language.identify(docs(spark, [(1, "abc"), (2, "12 --"), (3, None)])).collect()}
     assert (r[2].lang_pred, r[2].score, r[3].lang_pred) == ("und", 0.0, "und")
+    assert not any(map(language.has_letter, ["", "½ ² 12", "٣ _ -", "😀"])) and all(map(language.has_letter, ["½a", "ß", "語", "ª"]))
 
 
 # --- pseudonyms ---
