@@ -5,6 +5,10 @@ addresses are found and validated; each valid value is permuted within its own f
 function is keyed BLAKE2b. The permutation is a bijection, so equal values stay equal and distinct ones distinct in all
 documents; a card gets a fitting check digit, a date stays a date. Walking on (permuting again) until the format's own
 rule holds keeps it a bijection of the valid values. Separators and the rest of the text stay as they are.
+
+A match that does not hold as a whole is tried at its earlier ends, and scanning goes on behind what was accepted or,
+where nothing was, inside the match. The choice of the end looks at the value alone, so that equal values stay equal;
+going back can therefore take another end where a card's new digits fit together with the digits that follow it.
 """
 
 from __future__ import annotations
@@ -34,6 +38,17 @@ NUMBERS = re.compile(
 )
 EMAIL = re.compile(r"(?<![\w.+%-])(?P<local>[A-Za-z0-9._%+-]++)@(?P<host>[A-Za-z0-9-]+)(?P<rest>(?:\.[A-Za-z0-9-]+)+)")
 _DIGIT = re.compile(r"\d")
+_END = re.compile(r"[A-Z0-9](?=[ -])", re.IGNORECASE)
+#: An IBAN's length by country.
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for country in countries.split(",")
+}
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -218,26 +233,54 @@ def email(f: Feistel, local: str, host: str, rest: str, back: bool = False) -> s
 _NUMBER_KINDS = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "iso": date, "day": date}
 
 
+def _ends(m: re.Match) -> list[int]:
+    """Where a value that m starts with may end, best first: an IBAN's country's length, the whole match, then the
+    places before its separators from the last on (an expiry, amount or upper-case word may follow a value)."""
+    s = m[0]
+    if m.lastgroup not in ("card", "iban", "phone"):
+        return [len(s)]
+    ends = [len(s), *(x.end() for x in reversed([*_END.finditer(s)]))]
+    if m.lastgroup == "iban":
+        length = IBAN_LENGTHS.get(s[:2])
+        ends.sort(key=lambda e: sum(c != " " for c in s[:e]) != length)
+    return ends
+
+
+def _number(f: Feistel, name: str, s: str, part: bool, back: bool) -> tuple[str, str | None]:
+    """(kind, pseudonym or None). part: s is cut out of a longer match, so a card must be grouped as cards are (rows of
+    short numbers have too many parts with a fitting check digit)."""
+    digits = sum(c.isdigit() for c in s)
+    fits = 13 <= digits <= 19 and not (part and any(len(g) < 3 for g in re.split("[ -]", s)[:-1]))
+    if name == "card":
+        return name, card(f, s, back) if fits else None
+    new = None if part and not NUMBERS.fullmatch(s) else _NUMBER_KINDS[name](f, s, back)
+    if new is None and name in ("phone", "iban") and digits >= 13 and not s[0].isalpha() and (fits or not part):
+        return "card", card(f, s, back)
+    return name, new
+
+
 def pseudonymise(f: Feistel, text: str, back: bool = False) -> tuple[str, dict[str, int]]:
     counts = dict.fromkeys(KINDS, 0)
 
-    def number(m: re.Match) -> str:
-        name = m.lastgroup
-        new = _NUMBER_KINDS[name](f, m[0], back)
-        if new is None and name in ("phone", "iban") and sum(c.isdigit() for c in m[0]) >= 13 and not m[0][0].isalpha():
-            name, new = "card", card(f, m[0], back)
-        if new is None:
-            return m[0]
-        counts["date" if name in ("iso", "day") else name] += 1
-        return new
-
     def address(m: re.Match) -> str:
         new = email(f, m["local"], m["host"], m["rest"], back)
         counts["email"] += new is not None
         return new or m[0]
 
     if _DIGIT.search(text):
-        text = NUMBERS.sub(number, text)
+        parts, done, at, tried = [], 0, 0, 0
+        while m := NUMBERS.search(text, at):
+            for end in _ends(m):
+                s = m[0][:end]
+                name, new = _number(f, m.lastgroup, s, end < len(m[0]) or m.start() < tried, back)
+                if new is not None:
+                    counts["date" if name in ("iso", "day") else name] += 1
+                    parts += [text[done : m.start()], new]
+                    done = at = m.start() + end
+                    break
+            else:  # what did not hold may have a value further on
+                at, tried = m.start() + 1, max(tried, m.end())
+        text = "".join(parts) + text[done:]
     return (EMAIL.sub(address, text) if "@" in text else text), counts
 
 

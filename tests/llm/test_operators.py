@@ -348,6 +348,23 @@ def test_pseudonyms(spark):
     assert pseudonymise[0] == new
 
 
+def test_values_before_more_digits_or_words():
+    f = pseudonyms.Feistel(b"k")
+    one = lambda value: pseudonyms.pseudonymise(f, value)[0]
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005"]
+    ibans = ["ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68 5390 0754 7034"]
+    cases = [(c, "card", a, b) for c in cards for a, b in [("", " 12/27"), ("", " 123"), ("", " 50.00 paid"), ("order 12 ", ""), ("AB12 ", " 7")]]
+    cases += [(i, "iban", a, b) for i in ibans for a, b in [("", " BIC X"), ("", " EUR 50"), ("", " 1234 x"), ("XY12 3456 ", " PAYMENT")]]
+    cases += [("+44 20 7946 0958", "phone", "", " 1234 5678"), ("4111 1111 1111 1111", "card", "", " 5500 0000 0000 0004")]
+    for value, kind, before, after in cases:
+        new, counts = pseudonyms.pseudonymise(f, before + value + after)
+        assert new.startswith(before + one(value)) and value not in new and counts[kind] >= 1, (before, value, after, new)
+    new, counts = pseudonyms.pseudonymise(f, "4111 1111 1111 1111 on 2021-02-28")
+    assert counts["card"] == counts["date"] == 1
+    table = " ".join(f"{i * 37 % 90 + 10}" for i in range(200))
+    assert sum(pseudonyms.pseudonymise(f, "10 " + table)[1].values()) <= 3
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"k")
     assert sorted(f.digits("t", f"{i:03d}") for i in range(1000)) == [f"{i:03d}" for i in range(1000)]
