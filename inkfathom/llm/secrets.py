@@ -4,7 +4,7 @@ Matches are found by the engine's regular expressions over whole texts: the piec
 themselves give every position, so no text leaves the JVM and no row is shuffled.
 
 Base kinds: assign, access, hex. Weak kinds, which alone mean little: `secret` (a bare run of exactly 40 characters of
-the base64 alphabet) and `endpoint` (a URL). Each access identifier opens a scope of `scope` code points on both sides;
+the base64 alphabet, which a '=' may precede) and `endpoint` (a URL). Each access identifier opens a scope of `scope` code points on both sides;
 the weak candidates are interval-joined with the scopes. A secret is reported when it touches an access identifier's
 scope; an endpoint when it touches one in which a secret part (assign, hex or reported secret) lies as well.
 """
@@ -25,6 +25,9 @@ ASSIGN = rf"""({NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 SECRET = r"[A-Za-z0-9/+_=-]{40,}"
+#: What the operator looks for: 40 characters with no further one beside them, but after a '=' (NAME=value). SECRET, with
+#: which the SQL is written, takes the name and the value as one run.
+BARE_SECRET = r"(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+_=-])"
 ENDPOINT = r"[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9.-]+(:[0-9]+)?[A-Za-z0-9/_.-]*"
 #: A whole run of hex digits of at least 24; as runs are maximal, these are the base matches that pass.
 LONG_HEX = r"[0-9a-f]{24,}"
@@ -64,9 +67,8 @@ def scan_spans(df: DataFrame, text_col: str = "text", scope: int = SCOPE) -> Dat
     t = t.withColumn("_access", F.expr(_spans("access", ACCESS, "length({v}) >= 20")))
     t = t.withColumn("_hex", F.expr(_spans("hex", LONG_HEX)))
     none = "slice(_access, 1, 0)"
-    weak = "length({v}) = 40 AND NOT regexp_like({v}, '[_=-]')"
     near = _touching(scope, "w", "a")
-    t = t.withColumn("_secret", F.expr(f"CASE WHEN size(_access) > 0 THEN filter({_spans('secret', SECRET, weak)}, w -> exists(_access, a -> {near})) ELSE {none} END"))
+    t = t.withColumn("_secret", F.expr(f"CASE WHEN size(_access) > 0 THEN filter({_spans('secret', BARE_SECRET)}, w -> exists(_access, a -> {near})) ELSE {none} END"))
     t = t.withColumn("_parts", F.expr("concat(_assign, _hex, _secret)"))
     t = t.withColumn("_open", F.expr(f"filter(_access, a -> exists(_parts, w -> {near}))"))
     t = t.withColumn("_endpoint", F.expr(f"CASE WHEN size(_open) > 0 THEN filter({_spans('endpoint', ENDPOINT)}, w -> exists(_open, a -> {near})) ELSE {none} END"))

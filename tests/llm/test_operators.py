@@ -318,6 +318,15 @@ def test_secrets(spark):
     assert [(r.n_secret, r.n_endpoint) for r in got[3:7]] == [(1, 1), (0, 0), (0, 0), (0, 0)]
 
 
+def test_secret_after_its_name(spark):
+    key, weak = "AKIA" + "Z9" * 9, "Q" * 39 + "+"
+    texts = [f"AWS_ACCESS_KEY_ID={key}\nAWS_SECRET_ACCESS_KEY={weak}\nURL=https://s3.example.com/x", f"https://a.b/?id={key}&signature_={weak}&z=1", f"{key} k:{weak}", f"{key} k={weak}Q", f"{key} k={weak}=", f"{key} k_{weak}", f"k={weak}"]
+    got = secrets.secret_spans(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r.n_secret for r in got] == [1, 1, 1, 0, 0, 0, 0] and got[0].n_endpoint == 1
+    for r, t in zip(got[:3], texts):
+        assert f"secret:{t.index(weak)}:{t.index(weak) + 40}" in r.spans.split(",")
+
+
 # --- language ---
 def test_language(spark):
     docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
