@@ -2,10 +2,10 @@
 
 Every page is read into blocks of text in page order. Markup that names boilerplate (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments of readers) drops its blocks; text in an article or main element is
-kept. What lies in neither, on pages that have no such element, is decided by repetition: the token streams of a host's
+kept. What lies in neither, on pages with such an element as on others, is decided by repetition: the token streams of a host's
 pages are concatenated, their suffixes sorted (prefix doubling to the depth of the shortest substring that counts), and
 every substring of at least `min_tokens` tokens that stands on `min_pages` distinct pages is boilerplate; covered tokens
-go, the unique runs between them stay.
+go, the unique runs between them stay. Beside an article or main element, a whole shorter block on as many pages goes as well.
 
 A host's pages are dealt into groups of a bounded number of characters, so that a host with a third of all pages is as
 many groups, each with a suffix array of its own. Where a host of several groups has pages that repetition decides, the
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,6 +189,18 @@ def window_keys(page: list[Block], host: str, length: int, words: Words) -> np.n
     return windows(h, length, xxhash.xxh3_64_intdigest(host.encode())).view(np.int64)
 
 
+def block_key(text: str, host: str) -> int:
+    """A key of a whole block, alike only on the same host."""
+    key = xxhash.xxh3_64_intdigest(f"{host}\n{text}".encode(), 1)
+    return key - (1 << 64) if key >> 63 else key
+
+
+def repeat_keys(page: list[Block], host: str, length: int, words: Words) -> np.ndarray:
+    """The distinct keys by which the page's repeats are counted: its windows, and its blocks too short for one."""
+    short = np.array([block_key(s, host) for s, _ in page if s.count(" ") + 1 < length], np.int64)
+    return np.unique(np.concatenate([window_keys(page, host, length, words), short]))
+
+
 def main_texts(pages: list[list[Block]], min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, host: str = "", repeats: np.ndarray | None = None) -> list[str]:
     """The main text of each of one host's pages. repeats: keys of windows known to be boilerplate from pages not given."""
     vocabulary: dict[str, int] = {}
@@ -197,17 +210,22 @@ def main_texts(pages: list[list[Block]], min_tokens: int = MIN_TOKENS, min_pages
     tokens = np.array([t for s in streams for t in s], np.int64)
     covered = repeated(tokens, np.repeat(np.arange(len(pages)), sizes), min_tokens, min_pages)
     out, at, hashes = [], 0, Words()
+    short = Counter(s for page in pages for s in {s for s, _ in page if s.count(" ") + 1 < min_tokens})
+    known = frozenset() if repeats is None else frozenset(repeats.tolist())
     for page, page_words, size in zip(pages, words, sizes):
         gone, at = covered[at : at + size], at + size
-        if any(in_main for _, in_main in page):
-            out.append("\n\n".join(s for s, in_main in page if in_main))
+        decided = any(in_main for _, in_main in page)
+        if decided and all(in_main for _, in_main in page):
+            out.append("\n\n".join(s for s, _ in page))
             continue
         if repeats is not None and len(repeats):
             for i in np.flatnonzero(np.isin(window_keys(page, host, min_tokens, hashes), repeats)):
                 gone[i : i + min_tokens] = True
         kept, i = [], 0
-        for ws in page_words:
-            run, i = _unique(ws, gone[i : i + len(ws)], min_tokens), i + len(ws)
+        for (s, in_main), ws in zip(page, page_words):
+            run, i = ws if in_main else _unique(ws, gone[i : i + len(ws)], min_tokens), i + len(ws)
+            if decided and not in_main and len(ws) < min_tokens and (short[s] >= min_pages or block_key(s, host) in known):
+                continue
             if run:
                 kept.append(" ".join(run))
         out.append("\n\n".join(kept or [s for s, _ in page]))  # a page of nothing else is its own text
@@ -224,9 +242,9 @@ def _host_repeats(docs: DataFrame, min_tokens: int, min_pages: int) -> DataFrame
             for b in batches:
                 for host, group, html in zip(*(c.to_pylist() for c in b.columns)):
                     page = blocks(html)
-                    if undecided and any(m for _, m in page):
+                    if undecided and all(m for _, m in page):
                         continue
-                    k = np.unique(window_keys(page, host, min_tokens, words))
+                    k = repeat_keys(page, host, min_tokens, words)
                     if len(k):
                         yield pa.RecordBatch.from_arrays([pa.array([host] * len(k)), pa.array([group] * len(k), pa.int64()), pa.array(k)], names=["host", "group", "key"])
 

@@ -223,6 +223,17 @@ def test_extraction_does_not_depend_on_groups(spark):
     assert all((notice in t) == (i % 18 == 0 or i >= 50) for i, t in large.items() if i % 9 == 0 or i % 13 == 1)
 
 
+def test_text_beside_an_article(spark):
+    """The main text in a plain div stays though teaser cards are article elements; repeated text beside an article goes."""
+    foot = "All rights belong to the people who made this place and who keep it alive every day of the year"
+    story = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    rows = [(i, f"http://h.org/{i}", f"<div>home about</div><div class='post-body'><p>{story(i)}</p></div><article>teaser {i}</article><div>{foot}</div>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for group_chars in (900, 10_000_000):
+        got = {r.page_id: r.text for r in html_text.extract(pages, group_chars=group_chars).collect()}
+        assert got == {i: f"{story(i)}\n\nteaser {i}" for i in range(30)}
+
+
 # --- near duplicates ---
 def brute_components(nodes, linked):
     up = {i: i for i in nodes}
