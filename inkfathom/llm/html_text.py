@@ -44,6 +44,12 @@ NAMED = frozenset(
     "pagination pager login search skiplink complementary contentinfo alert dialog".split()
 )
 NAMED_OUTSIDE = frozenset("header site-header topbar".split())
+#: Inside an article only these elements are named, by whole class tokens or one of NAMED with a word for a holder.
+NAMED_INSIDE = frozenset("div aside section ul ol".split())
+HOLDERS = frozenset("box bar block wrapper wrap container holder inner outer area section list links link buttons button widget slot unit panel form items icons".split())
+#: Readers' comments are no main text though they are articles, as an id inside an article too.
+READERS = frozenset("comment comments commentlist disqus respond replies".split())
+MODIFIERS = ("has-", "no-", "not-", "with-", "without-")
 NAMED_PAIRS = frozenset("side-bar sign-up skip-link site-header page-header top-bar".split())
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -52,28 +58,51 @@ _NAME = re.compile(r"[a-z]+")
 Block = tuple[str, bool]
 
 
-def _named(attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(boilerplate by its attributes, main by its role)"""
+def _named(attributes: str, inside: bool, tag: str = "div") -> tuple[bool, bool, bool]:
+    """(hidden, boilerplate by its names, main by its role)"""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False, False
-    main = False
+        return False, False, False
+    named = main = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True, False
-        if name in ("class", "id", "role"):
-            words = _NAME.findall(value)
-            if not NAMED.isdisjoint(words) or not NAMED_PAIRS.isdisjoint(value.replace("_", "-").split()) or not inside and not NAMED_OUTSIDE.isdisjoint(words):
-                return True, False
-            main = main or name == "role" and value == "main"
-    return False, main
+            return True, False, False
+        if name not in ("class", "id", "role"):
+            continue
+        main = main or name == "role" and value == "main"
+        tokens = [x for x in value.replace("_", "-").split() if not x.startswith(MODIFIERS)]
+        if not inside:
+            words = _NAME.findall(" ".join(tokens))
+            named = named or not NAMED.isdisjoint(words) or not NAMED_PAIRS.isdisjoint(tokens) or not NAMED_OUTSIDE.isdisjoint(words)
+        elif name == "role":
+            named = named or not NAMED.isdisjoint(tokens)
+        elif tag in NAMED_INSIDE and name == "class":
+            named = named or any(x in NAMED or x in NAMED_PAIRS or x.partition("-")[0] in NAMED and x.rpartition("-")[2] in HOLDERS for x in tokens)
+        elif tag in NAMED_INSIDE and tag != "section":
+            named = named or not READERS.isdisjoint(_NAME.findall(" ".join(tokens)))
+    return False, named, main
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks outside markup that names boilerplate, in order, each with whether an article or main element holds it."""
+    """The page's text blocks outside markup that names boilerplate, in order, each with whether an article or main element holds it.
+
+    A name does not drop an element around the page's article or main element: one that holds more words than all that
+    is left without it."""
+    out, holders = _blocks(page, frozenset())
+    if holders and not any(m for _, m in out):
+        more, _ = _blocks(page, frozenset(holders))
+        if sum(len(s.split()) for s, m in more if m) > sum(len(s.split()) for s, _ in out):
+            return more
+    return out
+
+
+def _blocks(page: str, exempt: frozenset[int]) -> tuple[list[Block], set[int]]:
+    """(blocks, where the elements start that only their names drop and that hold an article or main element). exempt:
+    starts of elements that no name drops."""
+    holders: set[int] = set()
     out: list[Block] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, dropped, main
+    stack: list[tuple[str, bool, bool, int]] = []  # element, dropped, main, start if its name may be overruled, -1 if only inherited, -2 if not
     dropped = main = False
     at, n = 0, len(page)
 
@@ -121,15 +150,19 @@ def blocks(page: str) -> list[Block]:
                 while stack and stack[-1][1] and stack[-1][0] in ("nav", "header", "footer"):
                     stack.pop()
             was_dropped, was_main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            by_name, role = _named(attributes, was_main)
-            by_tag = tag in DROPPED and not (tag == "header" and was_main)
-            if tag in ("html", "body"):
+            hidden, by_name, role = _named(attributes, was_main, tag)
+            by_tag = hidden and tag not in ("html", "body") or tag in DROPPED and not (tag == "header" and was_main)
+            if tag in ("html", "body", "main") or m.start() in exempt:
                 by_name = False
+            is_main = tag in ("article", "main") or role
             if not attributes.rstrip().endswith("/"):
-                stack.append((tag, was_dropped or by_tag or by_name, was_main or tag in ("article", "main") or role))
+                readers = by_name and not READERS.isdisjoint(_NAME.findall(attributes.lower()))
+                stack.append((tag, was_dropped or by_tag or by_name, was_main or is_main, -2 if by_tag or readers else m.start() if by_name else -1))
+                if is_main and stack[-1][1] and all(x[3] > -2 for x in stack):
+                    holders.update(x[3] for x in stack if x[3] >= 0)
         dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     close()
-    return out
+    return out, holders
 
 
 def repeated(tokens: np.ndarray, pages: np.ndarray, length: int, min_pages: int) -> np.ndarray:

@@ -177,6 +177,19 @@ def test_markup():
         html_text.blocks(broken)
 
 
+def test_names_do_not_drop_the_article():
+    text = lambda page: html_text.main_texts([html_text.blocks(page)])[0]
+    article = "<article><p>the story itself</p></article>"
+    for wrap in ("<div class='layout has-sidebar'>%s</div>", "<main class='no-sidebar'>%s</main>", "<div id='sidebar-layout'><div class='share'>%s</div></div>", "<div role='main' class='with-menu'>%s</div>", "<main class='sidebar'>%s</main>"):
+        assert text(wrap % article) == "the story itself", wrap
+    inner = "<section id='discussion'>a</section><h2 id='related-work'>b</h2><h3 id='share-prices'>c</h3><p class='notice'>d</p><section class='related-work'>e</section>"
+    assert text(f"<article>{inner}</article>") == "a\n\nb\n\nc\n\nd\n\ne"
+    gone = "<div class='ad'>x</div><ul class='share-links'><li>x</ul><div id='comments'>x</div><aside>x</aside><section class='related'>x</section><div style='display:none'>x</div>"
+    assert text(f"<article><p>kept{gone}</article>") == "kept"
+    assert text("<div class='post'>the post</div><div id='comments'><article>a reader with many more words</article></div>") == "the post"
+    assert text("<div class='post'>the post of some words</div><div class='sidebar'><article>teaser</article></div>") == "the post of some words"
+
+
 def test_repeated_substrings():
     rnd = random.Random(4)
     for _ in range(30):
