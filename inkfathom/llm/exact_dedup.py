@@ -72,14 +72,20 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
 
 def unique_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_dedup drops (one row of each repeated row stays); df's own columns."""
-    lost = exact_dedup(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_lost")).distinct()
-    again = exact_dedup_repeats(df, id_col, text_col)
-    out = carried(df, _id=F.col(id_col)).join(lost, F.col("_id").eqNullSafe(F.col("_lost")), "left_anti").select("_row.*")
-    return out if again is None else again(out)
+    """df without the rows that exact_dedup drops (one row of each repeated row stays); df's own columns.
 
-
-def exact_dedup_repeats(df: DataFrame, id_col: str, text_col: str):
-    """None where identifiers are unique (the usual case, found from one narrow scan); else the step that drops repeated rows."""
-    counts = df.select(id_col).groupBy(id_col).count().agg(F.max("count")).first()[0] or 0
-    return None if counts <= 1 else lambda x: x.dropDuplicates([id_col, text_col])
+    A dropped row is one whose identifier and text are; where identifiers are unique and not null, the identifier tells it.
+    """
+    runs = digests(df, id_col, text_col)
+    keep = tree_merge(runs, id_col)
+    lost = runs.join(keep, _KEY).filter(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("_lost"), *[F.col(c).alias(f"_lost{c}") for c in _KEY]).distinct()
+    counts = runs.groupBy(id_col).count().agg(F.max("count"), F.max(F.col(id_col).isNull())).first()
+    if (counts[0] or 0) <= 1 and not counts[1]:
+        return carried(df, _id=F.col(id_col)).join(lost, F.col("_id").eqNullSafe(F.col("_lost")), "left_anti").select("_row.*")
+    norm = normalised(F.col(text_col))
+    key = {"_sha": F.unhex(F.sha2(norm, 256)), "_len": F.length(norm).cast("long"), "_alt": F.xxhash64(norm)}
+    same = F.col("_id").eqNullSafe(F.col("_lost"))
+    for c in _KEY:
+        same = same & (F.col(c) == F.col(f"_lost{c}"))
+    out = carried(df, _id=F.col(id_col), _text=F.col(text_col), **key).join(lost, same, "left_anti")
+    return out.dropDuplicates(["_id", "_text"]).select("_row.*")

@@ -52,6 +52,12 @@ def test_exact_dedup(spark):
     assert sorted(norm(r.text) for r in kept) == sorted({norm(t) for _, t in AWKWARD})
 
 
+def test_unique_documents_with_null_and_repeated_ids(spark):
+    rows = [(1, "copied"), (None, "copied"), (None, "alone"), (None, "alone too"), (2, "copied"), (2, "kept"), (3, "kept"), (3, "kept"), (4, "own")]
+    got = exact_dedup.unique_documents(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, "copied"), (None, "alone"), (None, "alone too"), (2, "kept"), (4, "own")], key=repr)
+
+
 def test_columns_named_like_inner_ones_stay(spark):
     names = ["doc_id", "text", "source", "_lost", "_id", "_row", "_own", "_size", "_taken", "_copy", "_text"]
     rows = [(i, t, "s", *"abcdefgh") for i, t in [(1, "a b c"), (2, "a  b c"), (3, "d e f g")]]
