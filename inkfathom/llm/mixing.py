@@ -94,18 +94,42 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.col("source").alias(source_col))
 
 
+def numbered(rows: DataFrame, keys: list[str], last: str) -> DataFrame:
+    """rows with `_no`, each one's number among those of equal keys, in the order of `last`. Whatever rows share a key,
+    they are spread over all tasks: numbers come from running sums over sorted partitions, less the key's first."""
+    rows = running(rows.withColumn("_one", F.lit(1).cast("long")), [*[F.asc_nulls_last(k) for k in keys], F.asc_nulls_last(last)], {"_nr": "_one"}).drop("_one")
+    rows = written(rows, "numbered")
+    first = rows.groupBy(*keys).agg(F.min("_nr").alias("_first"))
+    first = first.select(*[F.col(k).alias(f"_f{k}") for k in keys], "_first")
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_f{k}"))
+    return rows.join(first, match).withColumn("_no", F.col("_nr") - F.col("_first")).drop("_nr", "_first", *[f"_f{k}" for k in keys])
+
+
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """df's rows as often as the mix takes them, each source's one partial document cut after its taken words; df's own columns.
 
     A document taken taken = q * size + rest words is repeated q times, and once more with its first `rest` words.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    plan = mix(df, **options).filter("taken > 0").select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    plan = plan.groupBy("_id", "_size").agg(F.sum("_taken").alias("_taken"), F.count("*").alias("_rows"))
-    docs = carried(df, _own_id=F.col(id_col), _text=F.col(text_col), _own=word_count(F.col(text_col)))
-    both = docs.join(plan, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
-    mean = F.floor(F.col("_taken") / F.col("_rows"))
-    both = both.withColumn("_full", F.floor(mean / F.col("_size"))).withColumn("_rest", mean - F.col("_full") * F.col("_size"))
+    source_col = options.get("source_col", "source")
+    plan = mix(df, **options).select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    docs = carried(df, _own_id=F.col(id_col), _own_source=F.col(source_col), _text=F.col(text_col), _own=word_count(F.col(text_col)))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_size"))
+    alike = written(plan.groupBy("_id", "_source", "_size").agg(F.count("*").alias("_rows")).filter("_rows > 1"), "alike")
+    if alike.isEmpty():
+        both = docs.join(plan.filter("_taken > 0"), same)
+    else:  # rows alike in identifier, source and size are numbered and matched one to one with the plan's
+        key = ["_id", "_source", "_size"]
+        hashed = F.xxhash64(*key)
+        docs, plan = docs.withColumn("_key", F.xxhash64("_own_id", "_own_source", "_own")), plan.withColumn("_key", hashed)
+        many = alike.select(hashed.alias("_key")).distinct()
+        one = docs.join(many, "_key", "left_anti").join(plan.join(many, "_key", "left_anti").filter("_taken > 0").drop("_key"), same).drop("_key")
+        mine = numbered(docs.join(many, "_key", "left_semi"), ["_key", "_own_id", "_own_source", "_own"], "_text")
+        theirs = numbered(plan.join(many, "_key", "left_semi"), ["_key", *key], "_taken").filter("_taken > 0").drop("_key")
+        both = one.unionByName(mine.join(theirs.withColumnRenamed("_no", "_nth"), same & (F.col("_no") == F.col("_nth"))).select(*one.columns))
+    both = both.withColumn("_full", F.floor(F.col("_taken") / F.col("_size"))).withColumn("_rest", F.col("_taken") - F.col("_full") * F.col("_size"))
     copies = both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_full") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
     head = F.regexp_extract("_text", r"^[\x20\x09-\x0D]*", 0)
     words = F.expr("regexp_extract_all(_text, '[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0)")

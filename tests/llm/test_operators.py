@@ -103,6 +103,18 @@ def test_mixing(spark):
     assert abs(sum(r[0] for r in words) - sum(len(t.split()) for i, t, _ in rows if i is not None and t)) <= 5
 
 
+def test_mixed_rows_with_repeated_ids(spark):
+    """Of rows alike in identifier and size only those that the mix takes come out, as often as it takes them."""
+    rows = [(None, f"a{i} b c", "a") for i in range(100)] + [(7, f"x{i} y", "b") for i in range(90)] + [(7, "x y", "a"), (8, "one two three four", "b"), (9, "w " * 300, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for weights in ((5, 2, 1), (1, 1, 30)):
+        want = {r.source: r.target for r in mixing.mix(df, weights=weights).collect()}
+        got = {s: 0 for s in want}
+        for r in mixing.mixed_documents(df, weights=weights).collect():
+            got[r.source] += len(r.text.split())
+        assert all(abs(got[s] - want[s]) <= 1 for s in want), (got, want)
+
+
 def test_mixing_is_unbiased(spark):
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), "a" if i % 3 else "b") for i in range(120)], "doc_id bigint, text string, source string")
     share = np.zeros(120)
