@@ -6,18 +6,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import running, scratch, shared_root, written
+from ..sources.shared import dropped, running, scratch, shared_root, written
 
-__all__ = ["SPACE", "WORD", "by_group", "carried", "running", "scratch", "shared_root", "written"]
+__all__ = ["SPACE", "WORD", "bounded_batches", "by_group", "carried", "dropped", "running", "scratch", "shared_root", "written"]
 
 #: ASCII white space as the contracts write it, for Java's and RE2's engines alike.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of a few megabytes, however long they are; a value that the session sets stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def carried(df: DataFrame, **named: Column) -> DataFrame:
     """df's rows as one struct, `_row`, beside the named columns: whatever df's columns are called, none clashes with an
     operator's own. select("_row.*") gives df's rows back."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,14 +23,17 @@ def components(edges: DataFrame) -> DataFrame:
         moved = best.select(F.col("hi").alias("_u"), F.col("m").alias("_m"))
         large = current.join(moved, current.lo == F.col("_u"), "left")
         large = written(large.select("hi", F.coalesce("_m", "lo").alias("lo"), F.col("_m").isNotNull().alias("moved")), "large")
-        row = best.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).crossJoin(large.agg(F.coalesce(F.max(F.col("moved").cast("int")), F.lit(0)).alias("moved"))).first()
-        if row.n <= 1 and not row.moved:
+        dropped(current)
+        neighbours = best.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        if neighbours <= 1 and large.filter("moved").isEmpty():
+            dropped(large)
             return best.select(F.col("hi").alias("node"), F.col("m").alias("component"))
         pairs = large.select("hi", "lo").distinct()
         least = written(pairs.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "least")
         many = least.filter("n > 1").select(F.col("hi").alias("_u"), F.col("m").alias("_m"))
         small = pairs.join(many, pairs.hi == F.col("_u")).filter("lo != _m").select(F.col("lo").alias("hi"), F.col("_m").alias("lo"))
         current = written(least.select("hi", F.col("m").alias("lo")).union(small).distinct(), "edges")
+        dropped(best, large, least)
 
 
 class Forest:
