@@ -1,20 +1,25 @@
 """Exact deduplication: a tree merge of sorted digest runs. DataFrame functions only.
 
-Every scan partition yields one run: its digests, each with the smallest identifier and the number of rows. Runs are
-merged `fan_in` at a time in rounds; a round's group key is (digest, number of the merged run), so each round is spread
-over all tasks and a digest that holds a third of all rows sends at most fan_in rows to any one of them. Every level's runs
-are written sorted to the shared folder, so a lost executor costs no earlier round. The last round leaves one row a
-digest. SHA-256 alone never decides: the length and a second hash of the normalised text travel with it
-and must agree too.
+Every scan partition's digests become a run: sorted, one row a digest, with the smallest identifier and the number of rows.
+Runs are numbered in base `fan_in`, and a run's pieces are the ranges of its digests by their leading digits in that base.
+In round r the fan_in partitions whose numbers differ in digit r only exchange pieces: each gets from all of them the
+piece that its own digit r names, merges the sorted pieces in order, verifies equal digests and keeps the smallest
+identifier of each. So each round halves (fan_in = 2; by default quarters) the number of runs that still overlap while
+every partition keeps its share of the digests, and no partition ever holds a root. After the last round partition p has
+the digests that begin with p's digits, one row each. A digest that holds a third of all rows is one row a run before
+anything meets. Each level's runs are written to the shared folder, so a lost executor costs no earlier round.
+
+SHA-256 alone never decides: the length and a second hash of the normalised text travel with it and must agree too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, carried, written
+from .common import SPACE, carried, dropped, written
 
+FAN_IN = 4
 _KEY = ["_sha", "_len", "_alt"]
 
 
@@ -37,23 +42,42 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def tree_merge(runs: DataFrame, id_col: str, fan_in: int = 32) -> DataFrame:
-    """One row a digest: (_sha, _len, _alt, keep_id, group_size)."""
-    n_runs = (runs.agg(F.max("_run")).first()[0] or 0) + 1
-    merged = runs.select(*_KEY, "_run", F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    while True:
-        n_runs = -(-n_runs // fan_in)
-        merged = (
-            merged.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
-            .groupBy(*_KEY, "_run")
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
-        merged = written(merged.sortWithinPartitions(*_KEY, "_run"), "runs")
-        if n_runs == 1:
-            return merged.drop("_run")
-
-
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 32) -> DataFrame:
+def merged_runs(pieces: DataFrame, n_runs: int) -> DataFrame:
+    """One sorted run a partition, from pieces (_KEY, keep_id, group_size, _run: the partition they go to)."""
+    same = Window.partitionBy("_run", *_KEY).orderBy(F.asc_nulls_last("keep_id"))
+    order = [*[F.asc(c) for c in ("_run", *_KEY)], F.asc_nulls_last("keep_id")]
+    rows = F.sum("group_size").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = pieces.repartitionById(n_runs, F.col("_run").cast("int")).sortWithinPartitions(*order)
+    first = met.withColumn("_rows", rows).withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
+    return first.select(*_KEY, "keep_id", F.col("_rows").alias("group_size"), "_run")
+
+
+def rounds_of(n_runs: int, fan_in: int) -> int:
+    rounds = 0
+    while fan_in**rounds < n_runs:
+        rounds += 1
+    return rounds
+
+
+def tree_merge(runs: DataFrame, id_col: str, fan_in: int = FAN_IN) -> DataFrame:
+    """One row a digest: (_sha, _len, _alt, keep_id, group_size). fan_in is a power of two."""
+    if fan_in < 2 or fan_in & (fan_in - 1):
+        raise ValueError("fan_in is a power of two")
+    n_scan = (runs.agg(F.max("_run")).first()[0] or 0) + 1
+    rounds, bits = rounds_of(n_scan, fan_in), fan_in.bit_length() - 1
+    level = runs.select(*_KEY, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "_run")
+    level = written(merged_runs(level, n_scan), "runs")
+    leading = F.conv(F.hex(F.substring("_sha", 1, 7)), 16, 10).cast("long")
+    for r in range(rounds):
+        place = fan_in ** (rounds - 1 - r)
+        digit = F.shiftright(leading, 56 - bits * (r + 1)).bitwiseAND(F.lit(fan_in - 1))
+        partner = F.col("_run") + (digit - F.floor(F.col("_run") / place) % fan_in) * place
+        level, old = written(merged_runs(level.withColumn("_run", partner.cast("int")), fan_in**rounds), "runs"), level
+        dropped(old)
+    return level.drop("_run")
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of df: id_col, keep_id, group_size, kept, text_sha256.
 
     Null and empty texts are the same text. Of equal texts the row with the smallest identifier stays; null identifiers
