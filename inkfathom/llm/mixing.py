@@ -19,6 +19,8 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 #: Up to so many sources (rows of about 60 bytes) the table of targets is broadcast; beyond, joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Of rows alike in identifier, source and size so many are numbered by one task.
+ALIKE_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -46,19 +48,29 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
 
 
 def _fold(seed: int) -> str:
-    """Folds docs: array<struct<w, id, m>>, 0 < m < w mostly, to struct<r: the residual, out: the decided ones>."""
+    """Folds docs: array<struct<w, id, no, m>>, 0 < m < w mostly, to struct<r: the residual, out: the decided ones>."""
     up = "least(s.r.w - s.r.m, b.m)"
     down = "least(s.r.m, b.w - b.m)"
-    u = f"(pmod(xxhash64(s.r.id, b.id, s.r.w, b.w, {seed}L), 9007199254740992L) / 9007199254740992D)"
+    u = f"(pmod(xxhash64(s.r.id, b.id, s.r.w, b.w, s.r.no, b.no, {seed}L), 9007199254740992L) / 9007199254740992D)"
     gains = f"{u} * ({up} + {down}) < {down}"
     a = f"CASE WHEN {gains} THEN if({up} = s.r.w - s.r.m, cast(s.r.w AS double), s.r.m + {up}) ELSE if({down} = s.r.m, 0D, s.r.m - {down}) END"
     b = f"CASE WHEN {gains} THEN if({up} = b.m, 0D, b.m - {up}) ELSE if({down} = b.w - b.m, cast(b.w AS double), b.m + {down}) END"
-    pair = f"named_struct('a', named_struct('w', s.r.w, 'id', s.r.id, 'm', {a}), 'b', named_struct('w', b.w, 'id', b.id, 'm', {b}), 'out', s.out)"
+    pair = f"named_struct('a', named_struct('w', s.r.w, 'id', s.r.id, 'no', s.r.no, 'm', {a}), 'b', named_struct('w', b.w, 'id', b.id, 'no', b.no, 'm', {b}), 'out', s.out)"
     # (pair -> state) as a one-element transform, which stands for a local variable
     step = f"element_at(transform(array({pair}), p -> if(p.a.m = 0D OR p.a.m = p.a.w, named_struct('r', p.b, 'out', concat(p.out, array(p.a))), named_struct('r', p.a, 'out', concat(p.out, array(p.b))))), 1)"
     return f"aggregate(slice(docs, 2, greatest(size(docs) - 1, 0)), named_struct('r', element_at(docs, 1), 'out', slice(docs, 1, 0)), (s, b) -> {step})"
 
 
+def told_apart(sized: DataFrame) -> DataFrame:
+    """sized (id, source, size) with `no`, which tells rows alike in all three apart. They are summed to one row before
+    the shuffle and dealt out again, ALIKE_ROWS to a task, so an identifier that many rows repeat is no hot key."""
+    counts = sized.groupBy("id", "source", "size").agg(F.count("*").alias("_rows"))
+    parts = counts.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / ALIKE_ROWS))))
+    few, many = parts.filter(F.col("_rows") <= ALIKE_ROWS), parts.filter(F.col("_rows") > ALIKE_ROWS).repartition("id", "source", "size", "_part")
+    last = F.least(F.col("_rows"), (F.col("_part") + 1) * ALIKE_ROWS) - 1
+    return few.unionByName(many).select("id", "source", "size", F.explode(F.sequence(F.col("_part") * ALIKE_ROWS, last)).alias("no"))
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 7, fan_in: int = 64, residual: str = "partial") -> DataFrame:
     """One row per row of df: id_col, size, source_size, target, taken (and source).
 
@@ -69,13 +81,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sized = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     goals = written(targets(sized, weights, max_copies), "goals")
     n_docs, n_sources = sized.count(), goals.count()
+    sized = written(told_apart(sized), "rows")
     small = F.broadcast(goals) if n_sources <= BROADCAST_SOURCES else goals
     small = small.withColumnRenamed("source", "_s")
     docs = sized.join(small, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     docs = docs.withColumn("base", F.floor("copies")).withColumn("m", (F.col("copies") - F.col("base")) * F.col("size"))
     fixed = ["source", "source_size", "target", "base"]
     blocks = max(1, -(-n_docs // fan_in))
-    level = docs.filter("m > 0").select(*fixed, F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).alias("block"), F.struct(F.col("size").alias("w"), "id", "m").alias("d"))
+    level = docs.filter("m > 0").select(*fixed, F.pmod(F.xxhash64("id", "size", "no", F.lit(seed)), F.lit(blocks)).alias("block"), F.struct(F.col("size").alias("w"), "id", "no", "m").alias("d"))
     parts = [docs.filter("NOT m > 0").select("id", "size", *fixed, F.lit(0.0).alias("m"))]
     while True:
         folded = level.groupBy(*fixed, "block").agg(F.sort_array(F.collect_list("d"), asc=False).alias("docs"))
