@@ -1,11 +1,12 @@
 """Secret scans with multipart credential linking. DataFrame and SQL functions only.
 
 Matches are found by the engine's regular expressions over whole texts: the pieces between matches and the matches
-themselves give every position, so no text leaves the JVM and no row is shuffled.
+themselves give every position by running sums, in chunks, so that the work grows with the matches (but for a factor of
+their number divided by CHUNK squared, which counts from millions on). No text leaves the JVM and no row is shuffled.
 
 Base kinds: assign, access, hex. Weak kinds, which alone mean little: `secret` (a bare run of exactly 40 characters of
 the base64 alphabet, which a '=' may precede) and `endpoint` (a URL). Each access identifier opens a scope of `scope` code points on both sides;
-the weak candidates are interval-joined with the scopes. A secret is reported when it touches an access identifier's
+the weak candidates are interval-joined with the scopes, both sorted, by binary search. A secret is reported when it touches an access identifier's
 scope; an endpoint when it touches one in which a secret part (assign, hex or reported secret) lies as well.
 """
 
@@ -34,19 +35,29 @@ LONG_HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 BASE = KINDS[:3]
 SCOPE = 200
+#: Matches whose positions are summed up one after another.
+CHUNK = 128
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """body with value as a variable, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _spans(kind: str, pattern: str, keep: str = "true") -> str:
-    """SQL for array<struct<s, k, e, v>> of one kind: s and e are 0-based code points, v the match. keep: over v."""
+    """SQL for array<struct<s, k, e, v>> of one kind, in order: s and e are 0-based code points, v the match. keep: over v."""
     p = _quoted(pattern)
     step = "named_struct('at', s.at + length(x.g) + length(x.v), 'out', concat(s.out, array(named_struct('s', s.at + length(x.g), 'k', {k}, 'e', s.at + length(x.g) + length(x.v), 'v', x.v))))".format(k=KINDS.index(kind))
     pairs = f"transform(filter(arrays_zip(split(_t, {p}, -1), regexp_extract_all(_t, {p}, 0)), x -> x['1'] IS NOT NULL), x -> named_struct('g', x['0'], 'v', x['1']))"
     none = "cast(array() AS array<struct<s: int, k: int, e: int, v: string>>)"
-    all_ = f"aggregate({pairs}, named_struct('at', 0, 'out', {none}), (s, x) -> {step}, s -> s.out)"
+    chunks = _let("pairs", pairs, f"transform(sequence(0, cast(ceil(size(pairs) / {CHUNK}) AS int) - 1), i -> slice(pairs, i * {CHUNK} + 1, {CHUNK}))")
+    sizes = "transform(chunks, c -> aggregate(c, 0, (n, x) -> n + length(x.g) + length(x.v)))"
+    starts = f"slice(aggregate({sizes}, array(0), (a, n) -> concat(a, array(element_at(a, -1) + n))), 1, size(chunks))"
+    all_ = _let("chunks", chunks, f"flatten(zip_with(chunks, {starts}, (c, at) -> aggregate(c, named_struct('at', at, 'out', {none}), (s, x) -> {step}, s -> s.out)))")
     return f"CASE WHEN regexp_like(_t, {p}) THEN filter({all_}, m -> {keep.format(v='m.v')}) ELSE {none} END"
 
 
@@ -54,6 +65,16 @@ def _touching(scope: int, a: str, b: str) -> str:
     return f"{a}.s < {b}.e + {scope} AND {b}.s < {a}.e + {scope}"
 
 
+def _touches(scope: int, x: str, spans: str) -> str:
+    """Whether x touches one of the spans (a variable; sorted, without overlaps): the last that starts before x ends also
+    ends last of those, so it decides."""
+    middle = "shiftright(p.lo + p.hi, 1)"
+    step = f"if(p.lo >= p.hi, p, if(element_at({spans}, {middle} + 1).s < {x}.e + {scope}, named_struct('lo', {middle} + 1, 'hi', p.hi), named_struct('lo', p.lo, 'hi', {middle})))"
+    halvings = f"sequence(1, cast(ceil(log2(size({spans}) + 1)) AS int) + 1)"
+    before = f"aggregate({halvings}, named_struct('lo', 0, 'hi', size({spans})), (p, i) -> {step}, p -> p.lo)"
+    return _let("last", before, f"if(last > 0, element_at({spans}, last).e + {scope} > {x}.s, false)")
+
+
 def _joined(name: str) -> str:
     names = "element_at(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), x.k + 1)"
     return f"array_join(transform(array_sort(transform({name}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))), x -> concat({names}, ':', x.s, ':', x.e)), ',')"
@@ -67,12 +88,12 @@ def scan_spans(df: DataFrame, text_col: str = "text", scope: int = SCOPE) -> Dat
     t = t.withColumn("_access", F.expr(_spans("access", ACCESS, "length({v}) >= 20")))
     t = t.withColumn("_hex", F.expr(_spans("hex", LONG_HEX)))
     none = "slice(_access, 1, 0)"
-    near = _touching(scope, "w", "a")
-    t = t.withColumn("_secret", F.expr(f"CASE WHEN size(_access) > 0 THEN filter({_spans('secret', BARE_SECRET)}, w -> exists(_access, a -> {near})) ELSE {none} END"))
-    t = t.withColumn("_parts", F.expr("concat(_assign, _hex, _secret)"))
-    t = t.withColumn("_open", F.expr(f"filter(_access, a -> exists(_parts, w -> {near}))"))
-    t = t.withColumn("_endpoint", F.expr(f"CASE WHEN size(_open) > 0 THEN filter({_spans('endpoint', ENDPOINT)}, w -> exists(_open, a -> {near})) ELSE {none} END"))
-    return t.withColumn("spans_found", F.expr("concat(_assign, _access, _hex, _secret, _endpoint)")).drop("_t", "_parts", "_open")
+    near = lambda weak, strong: _let("scopes", strong, f"filter({weak}, w -> {_touches(scope, 'w', 'scopes')})")
+    t = t.withColumn("_secret", F.expr(f"CASE WHEN size(_access) > 0 THEN {near(_spans('secret', BARE_SECRET), '_access')} ELSE {none} END"))
+    parts = " OR ".join(_touches(scope, "a", f"parts.{k}") for k in ("assign", "hex", "secret"))
+    t = t.withColumn("_open", F.expr(_let("parts", "named_struct('assign', _assign, 'hex', _hex, 'secret', _secret)", f"filter(_access, a -> {parts})")))
+    t = t.withColumn("_endpoint", F.expr(f"CASE WHEN size(_open) > 0 THEN {near(_spans('endpoint', ENDPOINT), '_open')} ELSE {none} END"))
+    return t.withColumn("spans_found", F.expr("concat(_assign, _access, _hex, _secret, _endpoint)")).drop("_t", "_open")
 
 
 def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
