@@ -1,135 +1,173 @@
-"""Word lists, replacement tables, thresholds and messages of the style engine, in their order of use.
-
-Entries of a list are separated by commas, or by bars where an entry has a comma; `a > b` replaces a by b.
-"""
+"""Word lists, replacement tables, thresholds and messages of the style engine, in their order of use."""
 
 from __future__ import annotations
 
-
-def _list(text: str, sep: str = ",") -> list[str]:
-    return [" ".join(x.split()) for x in text.split(sep)]
-
-
-def _rules(text: str) -> list[tuple[str, str]]:
-    return [(a.strip(), b.strip()) for a, b in (line.split(">") for line in text.strip().splitlines())]
-
-
 # --- Fixed values: counted terms ---
-CONTRACTIONS = _list(
-    "I'm, I've, I'd, I'll, you're, you've, you'd, you'll, we're, we've, we'd, we'll, they're, they've, they'd, they'll, it's, that's, there's, here's, "
-    "who's, what's, where's, when's, why's, how's, isn't, aren't, wasn't, weren't, hasn't, haven't, hadn't, doesn't, don't, didn't, won't, wouldn't, "
-    "shouldn't, couldn't, can't, mustn't, needn't, ain't, y'all, gonna, wanna, gotta"
-)
-FIRST_PERSON = _list("I, me, my, mine, myself, we, us, our, ours, ourselves")
-BE_FORMS = _list("am, is, are, was, were, be, been, being")
-FORMAL = _list(
-    "therefore, thus, hence, moreover, furthermore, consequently, nevertheless, wherein, whereby, heretofore, aforementioned, pursuant, regarding, with respect to, in accordance with"
-)
-INFORMAL = _list(
-    "yeah | yep | nope | kinda | sorta | gonna | wanna | gotta | lol | haha | btw | tbh | imo | like, | you know | honestly | basically | literally | super | pretty much | a bunch | stuff | things", "|"
-)
-TRANSITIONS = _list(
-    "however, therefore, meanwhile, in contrast, for example, in other words, as a result, on the other hand, that said, in fact, of course, at the same time, for instance, in addition, beyond that, still, even so, after all"
-)
-
-# --- Fixed values: replacements, applied in this order; case does not matter unless a table says so ---
-FORMAL_TO_CASUAL = _rules(
-    """
-    utilize > use
-    approximately > about
-    subsequently > then
-    therefore > so
-    however > but
-    in order to > to
-    due to the fact that > because
-    at this point in time > now
-    prior to > before
-    commence > start
-    terminate > end
-    assist > help
-    obtain > get
-    demonstrate > show
-    individuals > people
-    additional > more
-    sufficient > enough
-    numerous > many
-    facilitate > help
-    regarding > about
-    in the event that > if
-    it is important to note that >
-    it should be noted that >
-    in conclusion > overall
-    leverage > use
-    synergy > teamwork
-    paradigm > model
-    robust > strong
-    seamless > smooth
-    cutting-edge > modern
-    state-of-the-art > advanced
-    """
-)
+CONTRACTIONS = [
+    "I'm", "I've", "I'd", "I'll", "you're", "you've", "you'd", "you'll", "we're", "we've", "we'd", "we'll", "they're", "they've", "they'd",
+    "they'll", "it's", "that's", "there's", "here's", "who's", "what's", "where's", "when's", "why's", "how's", "isn't", "aren't", "wasn't",
+    "weren't", "hasn't", "haven't", "hadn't", "doesn't", "don't", "didn't", "won't", "wouldn't", "shouldn't", "couldn't", "can't",
+    "mustn't", "needn't", "ain't", "y'all", "gonna", "wanna", "gotta",
+]
+FIRST_PERSON = [
+    "I", "me", "my", "mine", "myself", "we", "us", "our", "ours", "ourselves",
+]
+BE_FORMS = [
+    "am", "is", "are", "was", "were", "be", "been", "being",
+]
+FORMAL = [
+    "therefore", "thus", "hence", "moreover", "furthermore", "consequently", "nevertheless", "wherein", "whereby", "heretofore",
+    "aforementioned", "pursuant", "regarding", "with respect to", "in accordance with",
+]
+INFORMAL = [
+    "yeah", "yep", "nope", "kinda", "sorta", "gonna", "wanna", "gotta", "lol", "haha", "btw", "tbh", "imo", "like,", "you know", "honestly",
+    "basically", "literally", "super", "pretty much", "a bunch", "stuff", "things",
+]
+TRANSITIONS = [
+    "however", "therefore", "meanwhile", "in contrast", "for example", "in other words", "as a result", "on the other hand", "that said",
+    "in fact", "of course", "at the same time", "for instance", "in addition", "beyond that", "still", "even so", "after all",
+]
+
+# --- Fixed values: replacements (first, by second), applied in this order; case does not matter unless a term starts with the pronoun I ---
+FORMAL_TO_CASUAL = [
+    ("utilize", "use"),
+    ("approximately", "about"),
+    ("subsequently", "then"),
+    ("therefore", "so"),
+    ("however", "but"),
+    ("in order to", "to"),
+    ("due to the fact that", "because"),
+    ("at this point in time", "now"),
+    ("prior to", "before"),
+    ("commence", "start"),
+    ("terminate", "end"),
+    ("assist", "help"),
+    ("obtain", "get"),
+    ("demonstrate", "show"),
+    ("individuals", "people"),
+    ("additional", "more"),
+    ("sufficient", "enough"),
+    ("numerous", "many"),
+    ("facilitate", "help"),
+    ("regarding", "about"),
+    ("in the event that", "if"),
+    ("it is important to note that", ""),
+    ("it should be noted that", ""),
+    ("in conclusion", "overall"),
+    ("leverage", "use"),
+    ("synergy", "teamwork"),
+    ("paradigm", "model"),
+    ("robust", "strong"),
+    ("seamless", "smooth"),
+    ("cutting-edge", "modern"),
+    ("state-of-the-art", "advanced"),
+]
 GENERAL_RULES = 12  # how many of FORMAL_TO_CASUAL apply without a profile
-CASUAL_TO_FORMAL = _rules(
-    """
-    a lot of > many
-    kinda > somewhat
-    sorta > somewhat
-    gonna > going to
-    wanna > want to
-    gotta > need to
-    yeah > yes
-    nope > no
-    stuff > material
-    things > items
-    pretty much > largely
-    basically > essentially
-    literally >
-    super > very
-    get > obtain
-    help > assist
-    show > demonstrate
-    start > begin
-    end > conclude
-    but > however
-    so > therefore
-    because > since
-    about > regarding
-    """
-)
-SUBJECTS = _list("I, you, we, they")  # "I" is matched in upper case only
-THIRD = _list("it, that, there")
-NEGATED = _list("is, are, was, were, has, have, had, does, do, did")
-MODALS = _list("would, should, could")
+CASUAL_TO_FORMAL = [
+    ("a lot of", "many"),
+    ("kinda", "somewhat"),
+    ("sorta", "somewhat"),
+    ("gonna", "going to"),
+    ("wanna", "want to"),
+    ("gotta", "need to"),
+    ("yeah", "yes"),
+    ("nope", "no"),
+    ("stuff", "material"),
+    ("things", "items"),
+    ("pretty much", "largely"),
+    ("basically", "essentially"),
+    ("literally", ""),
+    ("super", "very"),
+    ("get", "obtain"),
+    ("help", "assist"),
+    ("show", "demonstrate"),
+    ("start", "begin"),
+    ("end", "conclude"),
+    ("but", "however"),
+    ("so", "therefore"),
+    ("because", "since"),
+    ("about", "regarding"),
+]
+EXPANSIONS = [
+    ("I'm", "I am"),
+    ("I've", "I have"),
+    ("I'd", "I would"),
+    ("I'll", "I will"),
+    ("you're", "you are"),
+    ("you've", "you have"),
+    ("you'd", "you would"),
+    ("you'll", "you will"),
+    ("we're", "we are"),
+    ("we've", "we have"),
+    ("we'd", "we would"),
+    ("we'll", "we will"),
+    ("they're", "they are"),
+    ("they've", "they have"),
+    ("they'd", "they would"),
+    ("they'll", "they will"),
+    ("it's", "it is"),
+    ("that's", "that is"),
+    ("there's", "there is"),
+    ("isn't", "is not"),
+    ("aren't", "are not"),
+    ("wasn't", "was not"),
+    ("weren't", "were not"),
+    ("hasn't", "has not"),
+    ("haven't", "have not"),
+    ("hadn't", "had not"),
+    ("doesn't", "does not"),
+    ("don't", "do not"),
+    ("didn't", "did not"),
+    ("won't", "will not"),
+    ("wouldn't", "would not"),
+    ("shouldn't", "should not"),
+    ("couldn't", "could not"),
+    ("can't", "cannot"),
+]
+CONTRACTED = [
+    ("I am", "I'm"),
+    ("I have", "I've"),
+    ("I would", "I'd"),
+    ("I will", "I'll"),
+    ("you are", "you're"),
+    ("you have", "you've"),
+    ("you will", "you'll"),
+    ("we are", "we're"),
+    ("we have", "we've"),
+    ("we will", "we'll"),
+    ("they are", "they're"),
+    ("they have", "they've"),
+    ("they will", "they'll"),
+    ("it is", "it's"),
+    ("that is", "that's"),
+    ("there is", "there's"),
+    ("is not", "isn't"),
+    ("are not", "aren't"),
+    ("was not", "wasn't"),
+    ("were not", "weren't"),
+    ("has not", "hasn't"),
+    ("have not", "haven't"),
+    ("had not", "hadn't"),
+    ("does not", "doesn't"),
+    ("do not", "don't"),
+    ("did not", "didn't"),
+    ("will not", "won't"),
+    ("would not", "wouldn't"),
+    ("should not", "shouldn't"),
+    ("could not", "couldn't"),
+    ("cannot", "can't"),
+]
 #: Patterns that may end anywhere, with the white space after them.
 FILLER_PREFIXES = ["In today's (?:fast-paced|digital) world,?", "It is worth noting that", "In summary,?", "Overall, it can be said that"]
-FILLER = _rules(
-    """
-    delve into > look at
-    navigate the (?:complex )?landscape > handle
-    play a crucial role > matter
-    a testament to > proof of
-    underscores the importance > shows the value
-    in the realm of > in
-    when it comes to > for
-    """
-)
-
-
-def _subject_forms(subject: str) -> list[tuple[str, str]]:
-    be = {"I": ("'m", "am")}.get(subject, ("'re", "are"))
-    return [(subject + short, f"{subject} {full}") for short, full in (be, ("'ve", "have"), ("'d", "would"), ("'ll", "will"))]
-
-
-def expansions() -> list[tuple[str, str]]:
-    """Contraction to full form, by rule: subjects, third persons, negations, irregular ones."""
-    out = [pair for s in SUBJECTS for pair in _subject_forms(s)] + [(f"{t}'s", f"{t} is") for t in THIRD] + [(f"{v}n't", f"{v} not") for v in NEGATED]
-    return [*out, ("won't", "will not"), *((f"{m}n't", f"{m} not") for m in MODALS), ("can't", "cannot")]
-
-
-def contractions() -> list[tuple[str, str]]:
-    """Full form to contraction: the same pairs turned round, where `would` is contracted for I only."""
-    return [(full, short) for short, full in expansions() if not (full.endswith(" would") and not full.startswith("I "))]
-
+FILLER = [
+    ("delve into", "look at"),
+    ("navigate the (?:complex )?landscape", "handle"),
+    ("play a crucial role", "matter"),
+    ("a testament to", "proof of"),
+    ("underscores the importance", "shows the value"),
+    ("in the realm of", "in"),
+    ("when it comes to", "for"),
+]
 
 # --- Fixed values: thresholds ---
 FREQUENT, RARE = 0.015, 0.008
@@ -138,7 +176,6 @@ TONE_FORMAL, TONE_CASUAL = 0.65, 0.35
 SCREEN_FORMAL, SCREEN_CASUAL = 0.6, 0.4
 VARIED, REPEATED = 0.55, 0.35
 MIN_CHARS, MAX_CHARS, MAX_BYTES, MAX_SAMPLES, MAX_TITLE = 40, 50_000, 100_000, 40, 200
-TEXT_ENDINGS = _list(".txt, .md, .markdown, .text")
 
 # --- Fixed values: messages ---
 TONE = {

@@ -49,11 +49,11 @@ def general(c: Column) -> Column:
 
 
 def contracted(c: Column) -> Column:
-    return apply_rules(c, lx.contractions())
+    return apply_rules(c, lx.CONTRACTED)
 
 
 def expanded(c: Column) -> Column:
-    return apply_rules(c, lx.expansions())
+    return apply_rules(c, lx.EXPANSIONS)
 
 
 def tidy(c: Column) -> Column:

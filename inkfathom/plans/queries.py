@@ -420,7 +420,7 @@ def _sql_full() -> str:
     return f"""{_P}, q AS (SELECT source, ([0.3, 0.5, 0.7, 0.62])[{k} % 4 + 1]::DOUBLE AS score, ([0.02, 0.001, 0.01])[{k} % 3 + 1]::DOUBLE AS rate, ([3.0, 11.0, 19.0, 28.0, 40.0])[{k} % 5 + 1]::DOUBLE AS target, common_transitions[1] AS first, tone_notes FROM y),
 a1 AS (SELECT doc_id, q.*, {sql_trim('text')} AS t0 FROM d JOIN q USING (source)), a2 AS (SELECT *, {sql_filler('t0')} AS t1 FROM a1),
 a3 AS (SELECT *, CASE WHEN score < 0.45 THEN {sql_rules('t1', lx.FORMAL_TO_CASUAL)} WHEN score > 0.62 THEN {sql_rules('t1', lx.CASUAL_TO_FORMAL)} ELSE t1 END AS t2 FROM a2),
-a4 AS (SELECT *, CASE WHEN rate >= 0.015 THEN {sql_rules('t2', lx.contractions())} WHEN rate < 0.008 THEN {sql_rules('t2', lx.expansions())} ELSE t2 END AS text FROM a3),
+a4 AS (SELECT *, CASE WHEN rate >= 0.015 THEN {sql_rules('t2', lx.CONTRACTED)} WHEN rate < 0.008 THEN {sql_rules('t2', lx.EXPANSIONS)} ELSE t2 END AS text FROM a3),
 {_SQL_JOIN.replace('{src}', 'a4')},
 a5 AS (SELECT a4.*, joined, {sql_kept('a4.text')} AS kept, len({sql_words('a4.text')}) / greatest(len({sql_kept('a4.text')}), 1)::DOUBLE AS mean FROM a4 LEFT JOIN joined USING (doc_id)),
 a6 AS (SELECT *, CASE WHEN mean > target + 6 THEN {_sql_split('kept', 'target')} WHEN mean < target - 6 AND len(kept) > 1 THEN joined ELSE text END AS t3 FROM a5),
@@ -460,8 +460,8 @@ SELECT doc_id, CASE WHEN kind = 'file' AND asked IN ('', 'Untitled sample') THEN
     "rewrite_no_profile": f"WITH {D}, a AS (SELECT doc_id, {sql_trim('text')} AS t0 FROM d), b AS (SELECT *, {sql_filler('t0')} AS t1 FROM a), e AS (SELECT *, {sql_rules('t1', lx.FORMAL_TO_CASUAL[: lx.GENERAL_RULES])} AS t2 FROM b) SELECT doc_id, CASE WHEN t0 = '' THEN '' ELSE {sql_tidy('t2')} END AS rewritten, CASE WHEN t0 = '' THEN {q(N['empty'])} ELSE CASE WHEN t1 <> t0 THEN {q(N['filler'] + '|')} ELSE '' END || {q(N['general'])} END AS notes FROM e",
     "rewrite_casual": _LOOK(sql_rules("text", lx.FORMAL_TO_CASUAL)),
     "rewrite_formal": _LOOK(sql_rules("text", lx.CASUAL_TO_FORMAL)),
-    "rewrite_contract": _LOOK(sql_rules("text", lx.contractions())),
-    "rewrite_expand": _LOOK(sql_rules("text", lx.expansions())),
+    "rewrite_contract": _LOOK(sql_rules("text", lx.CONTRACTED)),
+    "rewrite_expand": _LOOK(sql_rules("text", lx.EXPANSIONS)),
     "split_long": _LOOK(_sql_split(sql_kept("text"), "4.0")),
     "join_short": f"WITH {D}, {_SQL_JOIN.replace('{src}', 'd')} SELECT doc_id, coalesce(joined, '') AS rewritten FROM d LEFT JOIN joined USING (doc_id)",
     "weave_transition": f"WITH {D}, v AS (SELECT *, {sql_kept('text')} AS ks FROM d) SELECT doc_id, coalesce({_sql_woven('text', 'ks', q('however'))}, text) AS rewritten FROM v",

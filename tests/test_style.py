@@ -23,7 +23,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_tables_have_their_sizes():
     assert [len(x) for x in (lx.CONTRACTIONS, lx.FIRST_PERSON, lx.FORMAL, lx.INFORMAL, lx.TRANSITIONS)] == [48, 10, 15, 23, 18]
-    assert [len(x) for x in (lx.FORMAL_TO_CASUAL, lx.CASUAL_TO_FORMAL, lx.expansions(), lx.contractions())] == [31, 23, 34, 31]
+    assert [len(x) for x in (lx.FORMAL_TO_CASUAL, lx.CASUAL_TO_FORMAL, lx.EXPANSIONS, lx.CONTRACTED)] == [31, 23, 34, 31]
 
 
 @pytest.mark.parametrize(
