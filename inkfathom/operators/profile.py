@@ -3,6 +3,8 @@
 No author's text is ever put together: metrics are sums over samples, n-grams and openers are counted as rows, and what
 crosses the border of two samples (a sentence without an end mark, an n-gram, a passive) comes from narrow rows that meet
 their neighbours by an equi-join on running numbers. So an author with a third of all samples is as many tasks.
+
+Every sample is tokenised once; what the later steps need of it is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -32,98 +34,163 @@ TRIGRAMS, BIGRAMS, OPENERS = (3, 4, 2), (2, 6, 3), (0, 5, 1)
 PHRASES, SHOWN_TRANSITIONS = 8, 8
 
 
+#: The start of a lower-case sentence, up to its third word.
+_THREE_WORDS = r"^(?:[^a-z0-9'-]*+[a-z0-9'-]++){0,3}"
+#: Passives that cross samples. Of the forms of be only this one can end a passive and begin the next, so a run of them
+#: carries on what was pending before it; a sample of nothing else hands it to the next sample.
+_RUN = "been"
+_PLACES = 1 << 31
+
+
 def openers(sentence: Column) -> Column:
-    return F.array_join(F.slice(tx.words(sentence), 1, 3), " ")
+    """The first three words; only the sentence's start is tokenised."""
+    return F.array_join(F.slice(tx.words(F.regexp_extract(F.lower(sentence), _THREE_WORDS, 0)), 1, 3), " ")
 
 
 def counted(text: Column) -> list[Column]:
     return [tx.count_matches(text, p).alias(n) for n, p in COUNTS.items()]
 
 
-def _samples(df: DataFrame) -> DataFrame:
-    """One row per sample that is not blank, with tokens and sentences."""
-    s = df.filter(tx.trim(F.col("text")) != "").select("author", "ord", "text")
-    return tx.settled(s.withColumn("w", tx.words(F.col("text"))).withColumn("s", tx.sentences(F.col("text"))))
+def _passives(c: Column) -> Column:
+    return tx.count_matches(c, PASSIVE)
+
+
+def _pending(c: Column) -> Column:
+    """1 where a form of be at the end waits for its participle, else 0."""
+    return _passives(F.concat(c, F.lit(" taken"))) - _passives(c)
+
+
+def _samples(df: DataFrame, words: bool = True, sentences: bool = True, counts: bool = True) -> DataFrame:
+    """One row per sample that is not blank, with what is asked for: tokens (w), sentence openers (so), the counts that
+    make the metrics. Written, as several steps read it."""
+    text = F.col("text")
+    t = df.filter(tx.trim(text) != "").select("author", "ord", "text")
+    t = t.withColumn("w", tx.words(text)) if words else t
+    t = t.withColumn("s", tx.sentences(text)) if sentences else t
+    t = tx.settled(t)
+    ends = text.rlike(rf"[.!?][{tx.WS}]*\z")
+    picked = ["author", "ord"]
+    if words:
+        picked += ["w", F.size("w").alias("n_w")]
+    if sentences:
+        three = lambda i: F.filter(F.split(openers(F.element_at("s", i)), " "), lambda x: x != "")
+        picked += [F.size("s").alias("n_s"), F.transform("s", openers).alias("so"), three(1).alias("s_first"), three(-1).alias("s_last"), (~ends).alias("open")]
+    if counts:
+        run = rf"(?i)^[{tx.WS}]*(?:{_RUN}[{tx.WS}]+)*(?:{_RUN}\z|[^{tx.WS}]*)"
+        back = rf"(?i)^[{tx.WS}]*(?:{_RUN[::-1]}[{tx.WS}]+)*[^{tx.WS}]*"
+        head, tail = F.regexp_extract("text", run, 0), F.reverse(F.regexp_extract(F.reverse("text"), back, 0))
+        pure = text.rlike(rf"(?i)^[{tx.WS}]*{_RUN}(?:[{tx.WS}]+{_RUN})*[{tx.WS}]*\z")
+        picked += [
+            tx.letters(F.col("w")).alias("chars"), *counted(text), *[F.contains(F.lower("text"), F.lit(x)).alias(f"t{i}") for i, x in enumerate(lx.TRANSITIONS)],
+            (_passives(F.concat(F.lit("is "), head)) - _passives(head)).alias("taken_over"), _pending(tail).alias("pending"), pure.alias("pure"),
+        ]
+    return written(t.select(*picked), "samples")
 
 
 def _edges(samples: DataFrame) -> DataFrame:
-    """Narrow rows of what may cross a border, numbered in the authors' order: all, those with tokens, and those that are
-    not a sentence without tokens and end (which changes no opener)."""
-    spaced = F.split(tx.trim(F.col("text")), rf"[{tx.WS}]+")
-    head, tail = F.array_join(F.slice(spaced, 1, 3), " "), F.array_join(F.reverse(F.slice(F.reverse(spaced), 1, 3)), " ")
-    ends = F.col("text").rlike(rf"[.!?][{tx.WS}]*\z")
-    e = samples.select(
-        "author", "ord", head.alias("head"), tail.alias("tail"), (~ends).alias("open"), F.size("s").alias("n_s"),
-        F.slice("w", 1, 2).alias("first"), F.reverse(F.slice(F.reverse("w"), 1, 2)).alias("last"),
-        F.slice(tx.words(F.element_at("s", 1)), 1, 3).alias("s_first"), F.slice(tx.words(F.element_at("s", -1)), 1, 3).alias("s_last"), F.size("w").alias("n_w"),
-    )
-    e = e.withColumn("one", F.lit(1).cast("long")).withColumn("tok", (F.col("n_w") > 0).cast("long"))
-    e = e.withColumn("opn", (~((F.col("n_s") == 1) & F.col("open") & (F.size("s_first") == 0))).cast("long"))
-    return written(running(e, [F.asc_nulls_first("author"), F.desc_nulls_last("ord")], {"i_one": "one", "i_tok": "tok", "i_opn": "opn"}), "edges")
-
-
-def _near(e: DataFrame, index: str, step: int, cols: list[str], tag: str) -> DataFrame:
-    """The row `step` places further on for the same author; its columns get the tag."""
-    flag = {"i_one": "one", "i_tok": "tok", "i_opn": "opn"}[index]
-    return e.filter(F.col(flag) == 1).select(F.col("author").alias(f"_a{tag}"), (F.col(index) - step).alias(f"_i{tag}"), *[F.col(c).alias(c + tag) for c in cols])
+    """Narrow rows of what may cross a border, numbered in the authors' order: those with tokens; those that are not a
+    sentence without tokens and end (which changes no opener); those that settle what is pending, and those that turn it."""
+    picked: list[Column] = []
+    sums: dict[str, str] = {}
+    if "w" in samples.columns:
+        picked += [F.slice("w", 1, 2).alias("first"), F.reverse(F.slice(F.reverse("w"), 1, 2)).alias("last"), F.col("n_w"), (F.col("n_w") > 0).cast("long").alias("tok")]
+        sums["i_tok"] = "tok"
+    if "so" in samples.columns:
+        picked += [F.col(c) for c in ("open", "n_s", "s_first", "s_last")] + [(~((F.col("n_s") == 1) & F.col("open") & (F.size("s_first") == 0))).cast("long").alias("opn")]
+        sums["i_opn"] = "opn"
+    if "pure" in samples.columns:
+        picked += [F.col("taken_over"), F.col("pending"), (~F.col("pure")).cast("long").alias("set"), (F.col("pure") & (F.col("pending") == 1)).cast("long").alias("turn")]
+        sums |= {"i_set": "set", "i_turn": "turn"}
+    e = samples.select("author", "ord", *picked)
+    return written(running(e, [F.asc_nulls_first("author"), F.desc_nulls_last("ord")], sums), "edges")
 
 
 def _joined(e: DataFrame, index: str, steps: dict[int, list[str]]) -> DataFrame:
-    flag = {"i_one": "one", "i_tok": "tok", "i_opn": "opn"}[index]
-    out = e.filter(F.col(flag) == 1)
+    """e's rows of that index, each with columns of the rows some places further on for the same author, tagged by the step."""
+    flag = {"i_tok": "tok", "i_opn": "opn"}[index]
+    own = out = e.filter(F.col(flag) == 1)
     for step, cols in steps.items():
         tag = f"_{step}".replace("-", "m")
-        near = _near(e, index, step, cols, tag)
-        out = out.join(near, (F.col(index) == F.col(f"_i{tag}")) & F.col("author").eqNullSafe(F.col(f"_a{tag}")), "left")
+        near = own.select(F.col("author").alias("_a"), (F.col(index) - step).alias("_i"), *[F.col(c).alias(c + tag) for c in cols])
+        out = out.join(near, (F.col(index) == F.col("_i")) & F.col("author").eqNullSafe(F.col("_a")), "left").drop("_a", "_i")
     return out
 
 
 def _border_passives(e: DataFrame) -> DataFrame:
-    pair = _joined(e, "i_one", {1: ["head"]}).filter(F.col("head_1").isNotNull())
-    n = lambda c: tx.count_matches(c, PASSIVE)
-    more = n(F.concat("tail", F.lit("\n\n"), "head_1")) - n(F.col("tail")) - n(F.col("head_1"))
-    return pair.groupBy("author").agg(F.sum(more).alias("border_passives"))
-
-
-def _gram_rows(samples: DataFrame, e: DataFrame) -> DataFrame:
-    """(author, n, gram, ord, pos): all tokens (n = 1), bi- and trigrams and, as n = 0, sentence openers."""
+    """What passives over borders add to an author's samples' own: where a form of be is pending at a sample's start, the
+    matches of its leading run shift by one. It is pending as the last sample that is no pure run left it, turned by each
+    pure run of an odd length since."""
+    settled = e.filter("set = 1").select(F.col("author").alias("_a"), F.col("i_set").alias("_i"), F.col("pending").alias("_pending"), F.col("i_turn").alias("_turned"))
+    at = e.join(settled, (F.col("i_set") - 1 == F.col("_i")) & F.col("author").eqNullSafe(F.col("_a")), "left")
+    # the first samples of an author have no such sample before them: runs are counted from the author's first
+    first = e.groupBy("author").agg(F.min("i_turn").alias("_none")).withColumnRenamed("author", "_b")
+    at = at.join(first, F.col("author").eqNullSafe(F.col("_b")), "left")
+    is_pending = (F.coalesce("_pending", F.lit(0)) + F.col("i_turn") - F.coalesce("_turned", "_none")) % 2 == 1
+    return at.filter(is_pending).groupBy("author").agg(F.sum("taken_over").alias("border_passives"))
+
+
+def _gram_rows(samples: DataFrame, e: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """(author, n, gram, at) for the wanted kinds: n-grams and, as n = 0, sentence openers. at orders by sample, newest
+    first, then by place; one number, so that sums and minima fit into a hash table's row."""
     none = F.array().cast("array<string>")
-    rows = lambda n, grams: F.transform(grams, lambda g, i: F.struct(F.lit(n).alias("n"), g.alias("gram"), i.cast("long").alias("pos")))
-    inner = F.when(F.size("s") > 2, F.transform(F.slice("s", 2, F.greatest(F.size("s") - 2, F.lit(0))), openers)).otherwise(none)
-    own = samples.select("author", "ord", F.explode(F.concat(rows(1, F.col("w")), rows(2, tx.ngrams(F.col("w"), 2)), rows(3, tx.ngrams(F.col("w"), 3)), F.transform(inner, lambda g, i: F.struct(F.lit(0).alias("n"), g.alias("gram"), (i + 1).cast("long").alias("pos"))))).alias("g"))
-    own = own.select("author", "ord", "g.n", "g.gram", "g.pos")
-    # n-grams that start in the last two tokens of a sample and end in the next ones
-    t = _joined(e, "i_tok", {1: ["first"], 2: ["first"]})
-    after = F.concat(F.coalesce("first_1", none), F.when(F.size(F.coalesce("first_1", none)) == 1, F.coalesce("first_2", none)).otherwise(none))
-    stream, k = F.concat("last", after), F.size("last")
-    def crossing(n: int) -> Column:
-        starts = F.filter(F.sequence(F.greatest(k - n + 2, F.lit(1)), F.greatest(k, F.lit(1))), lambda i: i + n - 1 <= F.size(stream))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(stream, i, n), " ").alias("gram"), (F.col("n_w") - k + i - 1).cast("long").alias("pos")))
-    border = t.select("author", "ord", F.explode(F.concat(crossing(2), crossing(3))).alias("g")).select("author", "ord", "g.n", "g.gram", "g.pos")
-    # openers of first and last sentences
-    o = _joined(e, "i_opn", {-1: ["open"], 1: ["s_first", "open", "n_s"], 2: ["s_first", "open", "n_s"], 3: ["s_first"]})
-    goes_on = lambda i: F.coalesce(F.col(f"open_{i}") & (F.col(f"n_s_{i}") == 1), F.lit(False))
-    rest = F.concat(F.coalesce("s_first_1", none), F.when(goes_on(1), F.concat(F.coalesce("s_first_2", none), F.when(goes_on(2), F.coalesce("s_first_3", none)).otherwise(none))).otherwise(none))
-    full = F.array_join(F.slice(F.concat("s_last", F.when(F.col("open"), rest).otherwise(none)), 1, 3), " ")
-    starts = ~F.coalesce("open_m1", F.lit(False))
-    lone = F.col("n_s") == 1
-    found = F.array(
-        F.when(starts, F.struct(F.when(lone, full).otherwise(F.array_join("s_first", " ")).alias("gram"), F.lit(0).cast("long").alias("pos"))),
-        F.when(~lone, F.struct(full.alias("gram"), (F.col("n_s") - 1).cast("long").alias("pos"))),
-    )
-    ends = o.select("author", "ord", F.explode(F.array_compact(found)).alias("g")).select("author", "ord", F.lit(0).alias("n"), "g.gram", "g.pos")
-    return own.unionByName(border).unionByName(ends.select("author", "ord", "n", "gram", "pos")).filter((F.col("n") > 0) | (F.length("gram") > 2))
+    oldest = F.lit("9223372036854775808").cast("decimal(20,0)")
+    start = F.coalesce(-F.col("ord").cast("decimal(20,0)"), oldest) * F.lit(_PLACES).cast("decimal(10,0)")
+
+    def rows(df: DataFrame, n: int, grams: Column) -> DataFrame:
+        at = F.col("start") + F.col("pos").cast("decimal(10,0)")
+        return df.select("author", start.alias("start"), F.posexplode(grams).alias("pos", "gram")).select("author", F.lit(n).alias("n"), "gram", at.alias("at"))
+
+    def placed(df: DataFrame, n: int, grams: Column) -> DataFrame:
+        """grams: array<struct<gram, pos>>"""
+        at = F.col("start") + F.col("g.pos").cast("decimal(10,0)")
+        return df.select("author", start.alias("start"), F.explode(grams).alias("g")).select("author", F.lit(n).alias("n"), "g.gram", at.alias("at"))
+
+    found = []
+    for n in (n for n in kinds if n):
+        found.append(rows(samples, n, tx.ngrams(F.col("w"), n)))
+        if n > 1:  # n-grams that start in the last two tokens of a sample and end in the next ones
+            t = _joined(e, "i_tok", {i: ["first"] for i in range(1, n)})
+            after = F.coalesce("first_1", none)
+            if n > 2:
+                after = F.concat(after, F.when(F.size(after) == 1, F.coalesce("first_2", none)).otherwise(none))
+            stream, k = F.concat("last", after), F.size("last")
+            starts = F.filter(F.sequence(F.greatest(k - n + 2, F.lit(1)), F.greatest(k, F.lit(1))), lambda i: i + n - 1 <= F.size(stream))  # noqa: B023
+            found.append(placed(t, n, F.transform(starts, lambda i: F.struct(F.array_join(F.slice(stream, i, n), " ").alias("gram"), (F.col("n_w") - k + i - 1).cast("long").alias("pos")))))  # noqa: B023
+    if 0 in kinds:
+        inner = F.when(F.size("so") > 2, F.slice("so", 2, F.greatest(F.size("so") - 2, F.lit(0)))).otherwise(none)
+        found.append(placed(samples, 0, F.transform(inner, lambda g, i: F.struct(g.alias("gram"), (i + 1).cast("long").alias("pos")))))
+        # openers of first and last sentences
+        o = _joined(e, "i_opn", {-1: ["open"], 1: ["s_first", "open", "n_s"], 2: ["s_first", "open", "n_s"], 3: ["s_first"]})
+        goes_on = lambda i: F.coalesce(F.col(f"open_{i}") & (F.col(f"n_s_{i}") == 1), F.lit(False))
+        rest = F.concat(F.coalesce("s_first_1", none), F.when(goes_on(1), F.concat(F.coalesce("s_first_2", none), F.when(goes_on(2), F.coalesce("s_first_3", none)).otherwise(none))).otherwise(none))
+        full = F.array_join(F.slice(F.concat("s_last", F.when(F.col("open"), rest).otherwise(none)), 1, 3), " ")
+        begins = ~F.coalesce("open_m1", F.lit(False))
+        lone = F.col("n_s") == 1
+        ends = F.array(
+            F.when(begins, F.struct(F.when(lone, full).otherwise(F.array_join("s_first", " ")).alias("gram"), F.lit(0).cast("long").alias("pos"))),
+            F.when(~lone, F.struct(full.alias("gram"), (F.col("n_s") - 1).cast("long").alias("pos"))),
+        )
+        found.append(placed(o, 0, F.array_compact(ends)))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.filter((F.col("n") > 0) | (F.length("gram") > 2))
 
 
-def gram_counts(samples: DataFrame, e: DataFrame) -> DataFrame:
+def gram_counts(samples: DataFrame, e: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
     """(author, n, gram, c, at): how often, and where first (newest sample, then place)."""
-    return _gram_rows(samples, e).groupBy("author", "n", "gram").agg(F.count("*").alias("c"), F.min(F.struct((-F.col("ord")).alias("o"), "pos")).alias("at"))
+    return _gram_rows(samples, e, kinds).groupBy("author", "n", "gram").agg(F.count("*").alias("c"), F.min("at").alias("at"))
 
 
-def top_grams(grams: DataFrame, n: int, k: int, least: int) -> DataFrame:
-    """The k most frequent of each author, first occurrence first among equals: (author, n, rank, gram, c)."""
+def top_grams(grams: DataFrame, *wanted: tuple[int, int, int]) -> DataFrame:
+    """The most frequent of each author, first occurrence first among equals: (author, n, rank, gram, c). wanted: (n, how
+    many, at least so often)."""
     order = Window.partitionBy("author", "n").orderBy(F.desc("c"), "at")
-    return grams.filter((F.col("n") == n) & (F.col("c") >= least)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("author", "n", "rank", "gram", "c")
+    often, few = F.lit(False), F.lit(False)
+    for n, k, least in wanted:
+        often, few = often | ((F.col("n") == n) & (F.col("c") >= least)), few | ((F.col("n") == n) & (F.col("rank") <= k))
+    ranked = grams.filter(often).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(k for _, k, _ in wanted))
+    return ranked.filter(few).select("author", "n", "rank", "gram", "c")
 
 
 def tone_notes(avg_sentence: Column, contraction: Column, formality: Column, first: Column, question: Column, dash: Column, semicolon: Column, richness: Column) -> Column:
@@ -165,14 +232,12 @@ def profiles(df: DataFrame) -> DataFrame:
     """
     samples = _samples(df)
     e = _edges(samples)
-    has = [F.max(F.contains(F.lower(F.col("text")), F.lit(t))).alias(f"t{i}") for i, t in enumerate(lx.TRANSITIONS)]
+    has = [F.max(f"t{i}").alias(f"t{i}") for i in range(len(lx.TRANSITIONS))]
     names = ["n_w", "n_s", "chars", *COUNTS]
-    rows = samples.select("author", "ord", "text", F.size("w").cast("long").alias("n_w"), F.size("s").cast("long").alias("n_s"), tx.letters(F.col("w")).alias("chars"), *counted(F.col("text")), (~F.col("text").rlike(rf"[.!?][{tx.WS}]*\z")).cast("long").alias("open"))
-    sums = rows.groupBy("author").agg(*[F.sum(n).alias(n) for n in names], F.sum("open").alias("open"), F.min_by("open", "ord").alias("oldest_open"), *has)
+    sums = samples.groupBy("author").agg(*[F.sum(F.col(n).cast("long")).alias(n) for n in names], F.sum(F.col("open").cast("long")).alias("open"), F.min_by(F.col("open").cast("long"), "ord").alias("oldest_open"), *has)
     everyone = df.groupBy("author").agg(F.count("*").cast("int").alias("sample_count"))
-    grams = written(gram_counts(samples, e), "grams")
-    distinct = grams.filter("n = 1").groupBy("author").agg(F.count("*").alias("distinct_words"))
-    top = top_grams(grams, *TRIGRAMS).unionByName(top_grams(grams, *BIGRAMS)).unionByName(top_grams(grams, *OPENERS))
+    distinct = samples.select("author", F.explode(F.array_distinct("w")).alias("word")).distinct().groupBy("author").agg(F.count("*").alias("distinct_words"))
+    top = top_grams(gram_counts(samples, e, (3, 2, 0)), TRIGRAMS, BIGRAMS, OPENERS)
     pick = lambda n: F.expr(f"transform(array_sort(filter(g, x -> x.n = {n})), x -> x.gram)")
     top = top.groupBy("author").agg(F.collect_list(F.struct("n", "rank", "gram")).alias("g"))
     top = top.select("author", F.slice(F.concat(pick(3), pick(2)), 1, PHRASES).alias("signature_phrases"), pick(0).alias("preferred_openers"))

@@ -176,9 +176,10 @@ def _authors(spark: SparkSession, d: str, seeded: bool = True) -> DataFrame:
 
 
 def _top(spark: SparkSession, d: str, which: tuple[int, int, int]) -> DataFrame:
-    samples = profile._samples(_authors(spark, d))
-    grams = profile.gram_counts(samples, profile._edges(samples))
-    return profile.top_grams(grams, *which).select(F.col("author").alias("source"), F.col("rank").cast("long").alias("rank"), "gram", F.col("c").alias("n"))
+    n = which[0]
+    samples = profile._samples(_authors(spark, d), words=n > 0, sentences=n == 0, counts=False)
+    grams = profile.gram_counts(samples, profile._edges(samples), (n,))
+    return profile.top_grams(grams, which).select(F.col("author").alias("source"), F.col("rank").cast("long").alias("rank"), "gram", F.col("c").alias("n"))
 
 
 def top_bigrams_by_source(spark: SparkSession, d: str) -> DataFrame:

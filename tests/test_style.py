@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from oracle import against_sql
 from pyspark.sql import functions as F
@@ -64,6 +66,20 @@ def test_profile_across_samples(spark):
     assert a == b
 
 
+def test_passives_across_samples(spark):
+    """Runs of been, whole samples of them too, against the same samples as one text."""
+    rnd = random.Random(9)
+    pieces = ["been", "been been", "Been been been", "is", "was been", "taken", "seen, been", "been.", "they were", "been taken", "  been  ", "x", "foo-been", "(been been", "been, been"]
+    rows = [(str(a), -i, rnd.choice(pieces[: 3 if a % 3 == 0 else 15])) for a in range(60) for i in range(rnd.randint(1, 7))]
+    many = spark.createDataFrame(rows, "author string, ord bigint, text string")
+    texts = {}
+    for a, _, t in rows:
+        texts.setdefault(a, []).append(t)
+    whole = spark.createDataFrame([(a, 1, "\n\n".join(t)) for a, t in texts.items()], "author string, ord bigint, text string")
+    x, y = ({r.author: r.passive_voice_hint for r in profile.profiles(t).collect()} for t in (many, whole))
+    assert x == y and any(x.values())
+
+
 def test_profiles_of_blank_and_no_samples(spark):
     schema = "author string, ord bigint, text string"
     p = profile.profiles(spark.createDataFrame([(None, 1, " \n"), (None, 2, None)], schema)).first()
