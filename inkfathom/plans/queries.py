@@ -15,6 +15,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import profile, rewrite
 from ..sources import store
+from ..sources.shared import scratch
 
 SEEDS = (
     "",
@@ -260,7 +261,68 @@ def latest_profile(spark: SparkSession, d: str) -> DataFrame:
     return store.latest(versions).select(F.col("author").alias("source"), "name")
 
 
+def truncation(spark: SparkSession, d: str) -> DataFrame:
+    """Submissions of up to 30 times a document, most above the longest text that is kept."""
+    raw = _submitted(spark, d).withColumn("content", F.repeat(F.concat("content", F.lit(" ")), 30))
+    return store.gated(raw).select(F.col("id").alias("doc_id"), F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"), F.col("word_count").cast("long").alias("word_count"))
+
+
+def _submitted(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select(F.col("source").alias("author"), F.col("doc_id").alias("id"), F.concat(F.lit("T"), "doc_id").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    return docs.select("*", F.lit("json").alias("kind"), F.lit("paste").alias("source"), F.lit("").alias("file_name"), F.lit("").alias("mime"), F.lit(0).cast("long").alias("bytes"))
+
+
+def _filled(spark: SparkSession, d: str) -> store.Store:
+    """A new store with all documents submitted to it, in the order of their identifiers."""
+    s = store.Store(spark, scratch(spark, "store")).create()
+    s.add(_submitted(spark, d))
+    return s
+
+
+def store_insert(spark: SparkSession, d: str) -> DataFrame:
+    s = _filled(spark, d).samples()
+    return s.select("author", "id", "title", F.md5("content").alias("content_md5"), F.col("word_count").cast("long").alias("word_count"), "source")
+
+
+def store_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The profile versions that the insertion has made."""
+    p = store.latest(_filled(spark, d).table("profiles"))
+    return p.select("author", "name", "avg_sentence_length", "vocabulary_richness", _bar("signature_phrases").alias("signature_phrases"), _bar("preferred_openers").alias("preferred_openers"), F.col("sample_word_count").cast("long").alias("sample_word_count"), F.col("sample_count").cast("long").alias("sample_count"), "summary")
+
+
+def store_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Two authors' newest samples are deleted, and their profiles made anew."""
+    s = _filled(spark, d)
+    for r in s.samples().groupBy("author").agg(F.max("id").alias("id")).orderBy("author").limit(2).collect():
+        s.delete(r.author, str(r.id))
+    left = s.samples().groupBy(F.col("author").alias("_a")).agg(F.max("id").alias("newest"))
+    p = store.latest(s.table("profiles")).join(left, F.col("author").eqNullSafe(F.col("_a")))
+    return p.select("author", "newest", F.col("sample_word_count").cast("long").alias("sample_word_count"), F.col("sample_count").cast("long").alias("sample_count"))
+
+
+def empty_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Get-or-build for authors without samples."""
+    s = store.Store(spark, scratch(spark, "store")).create()
+    p = s.profile(_docs(spark, d).select(F.col("source").alias("author")).distinct())
+    return p.select("author", "name", "avg_sentence_length", "contraction_rate", "formality_score", _bar("tone_notes").alias("tone_notes"), F.size("signature_phrases").cast("long").alias("n_phrases"), F.col("sample_count").cast("long").alias("sample_count"), "summary")
+
+
+def rewrite_log(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts, every fifth of them blank, rewritten through an empty store: what its log then holds."""
+    s = store.Store(spark, scratch(spark, "store")).create()
+    blank = F.pmod("doc_id", F.lit(5)) == 0
+    s.rewrite(_seeded(spark, d).select(F.col("source").alias("author"), F.col("doc_id").alias("id"), F.when(blank, F.lit(" \n")).otherwise(F.col("text")).alias("text")))
+    return s.table("rewrites").select("author", "id", F.md5("original_text").alias("original_md5"), "rewritten_text", "notes")
+
+
 # --- rewriting ---
+def rewrite_blank(spark: SparkSession, d: str) -> DataFrame:
+    """Null and blank drafts among others."""
+    text = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit(None)).when(F.pmod("doc_id", F.lit(3)) == 1, F.lit(" \n\t\u00a0")).otherwise(F.lit("We utilize it."))
+    drafts = _docs(spark, d).select("doc_id", F.col("source").alias("author"), text.alias("text"))
+    return rewrite.rewrite(drafts, spark.createDataFrame([], store.PROFILE)).select("doc_id", "rewritten", _bar("notes").alias("notes"))
+
+
 def _rewritten(f: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return rewrite.staged(_seeded(spark, d).select("doc_id", "text"), "rewritten", f(F.col("text"))).select("doc_id", "rewritten")
@@ -328,6 +390,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "capacity": capacity,
     "list_samples": list_samples,
     "latest_profile": latest_profile,
+    "truncation": truncation,
+    "store_insert": store_insert,
+    "store_profiles": store_profiles,
+    "store_delete": store_delete,
+    "empty_profile": empty_profile,
+    "rewrite_log": rewrite_log,
+    "rewrite_blank": rewrite_blank,
     "rewrite_filler": _rewritten(rewrite.without_filler),
     "rewrite_no_profile": rewrite_no_profile,
     "rewrite_casual": _rewritten(rewrite.casual),
@@ -343,6 +412,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 # --- their SQL ---
+_ACCEPTED = f"""raw AS (SELECT doc_id, source, lang, {sql_trim("coalesce(text, '')")} AS text, row_number() OVER (ORDER BY doc_id) AS id FROM documents),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM raw WHERE length(text) >= {lx.MIN_CHARS}) WHERE turn <= {lx.MAX_SAMPLES}),
+d AS (SELECT doc_id, id, source, lang, left(text, {lx.MAX_CHARS}) AS text FROM kept)"""
 _W, _S = sql_words("text"), sql_sentences("text")
 _COMBINED = f"c AS (SELECT source, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY doc_id DESC) FILTER (WHERE {sql_trim('text')} <> ''), '') AS text, count(*) AS n FROM d GROUP BY source)"
 _TOKENS = f"w AS (SELECT source, text, n, {_W} AS w, {_S} AS s FROM c)"
@@ -362,11 +434,11 @@ def _sql_top(grams: str, k: int, least: int) -> str:
     return f"WITH {D}, {_COMBINED}, {_TOKENS}, {grams}, {ranked} SELECT source, rank, gram, n FROM r WHERE rank <= {k}"
 
 
-def _sql_profile() -> str:
+def _sql_profile(docs: str = D) -> str:
     n = {k: sql_count("text", p) for k, p in SQL_COUNTS.items()}
     has = ", ".join(f"CASE WHEN contains(lower(text), {q(t)}) THEN {q(t)} END" for t in lx.TRANSITIONS)
     t = lx.TONE
-    return f"""{D}, {_COMBINED}, {_TOKENS},
+    return f"""{docs}, {_COMBINED}, {_TOKENS},
 b AS (SELECT source, gram, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, pos) AS rank FROM (SELECT source, gram, count(*) AS n, min(pos) AS pos FROM ({_sql_grams(2)[6:-1]}) GROUP BY source, gram HAVING count(*) >= 3)),
 t3 AS (SELECT source, gram, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, pos) AS rank FROM (SELECT source, gram, count(*) AS n, min(pos) AS pos FROM ({_sql_grams(3)[6:-1]}) GROUP BY source, gram HAVING count(*) >= 2)),
 o AS (SELECT source, gram, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, pos) AS rank FROM (SELECT source, gram, count(*) AS n, min(pos) AS pos FROM ({_SQL_OPENERS[6:-1]}) GROUP BY source, gram)),
@@ -431,6 +503,7 @@ a7 AS (SELECT *, {sql_kept('t3')} AS kept3 FROM a6), a8 AS (SELECT *, CASE WHEN
 _FULL = _sql_full()
 _LOOK = lambda t: f"WITH {D} SELECT doc_id, {t} AS rewritten FROM d"
 N = lx.NOTE
+_COUNTED = f"len(list_filter(string_split_regex({sql_trim('{t}')}, '[{tx.WS}]+'), lambda x: x <> ''))::BIGINT"
 ORACLE_SQL: dict[str, str] = {
     "profile_by_source": f"{_P} SELECT source, {_SCALARS}, {', '.join(f'{sql_list(c)} AS {c}' for c in _LISTS)}, sample_word_count, sample_count, summary FROM y",
     "tokens": f"WITH w AS (SELECT doc_id, {_W} AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct, md5({sql_list('w')}) AS tokens_md5 FROM w",
@@ -457,6 +530,12 @@ SELECT doc_id, CASE WHEN kind = 'file' AND asked IN ('', 'Untitled sample') THEN
     "capacity": "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) + max(doc_id) OVER (PARTITION BY source) % 50 > 40 AS over FROM documents",
     "list_samples": "SELECT doc_id AS id, source, strftime(TIMESTAMP '1970-01-01' + to_seconds(1700000000 + (doc_id // 3) * 86400), '%b %-d, %Y') AS shown_date FROM documents ORDER BY 1 DESC",
     "latest_profile": "SELECT source, 'v' || max(doc_id) AS name FROM documents GROUP BY source",
+    "truncation": f"WITH r AS (SELECT doc_id, left({sql_trim("repeat(coalesce(text, '') || ' ', 30)")}, {lx.MAX_CHARS}) AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS content_md5, {_COUNTED.format(t='t')} AS word_count FROM r",
+    "store_insert": f"WITH {_ACCEPTED} SELECT source AS author, id, 'T' || doc_id AS title, md5(text) AS content_md5, {_COUNTED.format(t='text')} AS word_count, 'paste' AS source FROM d",
+    "store_profiles": f"WITH {_sql_profile(_ACCEPTED)} SELECT source AS author, 'My writing style' AS name, avg_sentence_length, vocabulary_richness, {sql_list('signature_phrases')} AS signature_phrases, {sql_list('preferred_openers')} AS preferred_openers, sample_word_count, sample_count, summary FROM y",
+    "store_delete": f"WITH {_ACCEPTED}, gone AS (SELECT max(id) AS id FROM d GROUP BY source ORDER BY source LIMIT 2) SELECT source AS author, max(id) AS newest, sum(len({sql_words('text')}))::BIGINT AS sample_word_count, count(*) AS sample_count FROM d WHERE id NOT IN (SELECT id FROM gone) GROUP BY source",
+    "empty_profile": f"SELECT DISTINCT source AS author, 'My writing style' AS name, 16.0::DOUBLE AS avg_sentence_length, 0.02::DOUBLE AS contraction_rate, 0.5::DOUBLE AS formality_score, 'Upload writing samples so the engine can learn your voice' AS tone_notes, 0::BIGINT AS n_phrases, 0::BIGINT AS sample_count, 'No samples uploaded yet.' AS summary FROM documents",
+    "rewrite_blank": f"SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'We use it.' ELSE '' END AS rewritten, CASE WHEN doc_id % 3 = 2 THEN {q(lx.NOTE['general'])} ELSE 'Add some text to rewrite.' END AS notes FROM documents",
     "rewrite_filler": _LOOK(sql_filler("text")),
     "rewrite_no_profile": f"WITH {D}, a AS (SELECT doc_id, {sql_trim('text')} AS t0 FROM d), b AS (SELECT *, {sql_filler('t0')} AS t1 FROM a), e AS (SELECT *, {sql_rules('t1', lx.FORMAL_TO_CASUAL[: lx.GENERAL_RULES])} AS t2 FROM b) SELECT doc_id, CASE WHEN t0 = '' THEN '' ELSE {sql_tidy('t2')} END AS rewritten, CASE WHEN t0 = '' THEN {q(N['empty'])} ELSE CASE WHEN t1 <> t0 THEN {q(N['filler'] + '|')} ELSE '' END || {q(N['general'])} END AS notes FROM e",
     "rewrite_casual": _LOOK(sql_rules("text", lx.FORMAL_TO_CASUAL)),
@@ -470,3 +549,4 @@ SELECT doc_id, CASE WHEN kind = 'file' AND asked IN ('', 'Untitled sample') THEN
     "rewrite_full": f"{_FULL} SELECT doc_id, CASE WHEN t0 = '' THEN '' ELSE {sql_tidy('coalesce(t4, t3)')} END AS rewritten FROM a8",
     "rewrite_notes": f"{_FULL} SELECT doc_id, CASE WHEN t0 = '' THEN {q(N['empty'])} ELSE array_to_string(list_filter([CASE WHEN t1 <> t0 THEN {q(N['filler'])} END, CASE WHEN score < 0.45 THEN {q(N['casual'])} WHEN score > 0.62 THEN {q(N['formal'])} ELSE {q(N['balanced'])} END, CASE WHEN rate >= 0.015 THEN {q(N['contract'])} WHEN rate < 0.008 THEN {q(N['expand'])} END, CASE WHEN t3 <> text THEN 'Tuned sentence rhythm toward ~' || floor(target + 0.5)::BIGINT || ' words' END, CASE WHEN t4 IS NOT NULL THEN 'Wove in a transition you often use (“' || first || '”)' END, 'Style cue: ' || tone_notes[1], 'Style cue: ' || tone_notes[2]], lambda x: x IS NOT NULL), '|') END AS notes FROM a8",
 }
+ORACLE_SQL["rewrite_log"] = f"WITH r AS ({ORACLE_SQL['rewrite_no_profile']}), {D} SELECT d.source AS author, doc_id AS id, md5(d.text) AS original_md5, rewritten AS rewritten_text, replace(notes, '|', chr(10)) AS notes FROM r JOIN d USING (doc_id) WHERE doc_id % 5 <> 0"

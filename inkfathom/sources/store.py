@@ -1,5 +1,7 @@
 """Samples, profiles and rewrites: ingest gates as columns, and a store of append-only tables.
 
+Submissions come from text files, JSON lines, pasted texts, or a table of a database over JDBC.
+
 A batch of submissions is gated as a whole; what fails goes to quarantine with its reason. The store keeps samples,
 tombstones, profile versions and the rewrite log as parquet, so that writers only ever append.
 """
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import profile, rewrite
-from .shared import file_system, written
+from .shared import dropped, file_system, running, written
 
 SAMPLES = "author string, id bigint, title string, content string, word_count int, source string, created_at timestamp, updated_at timestamp"
 DELETED = "author string, id bigint"
@@ -64,10 +66,11 @@ def within_capacity(accepted: DataFrame, existing: DataFrame, order: str, most:
 
 
 def read_files(spark: SparkSession, path: str, author: str) -> DataFrame:
-    """Text files below path as submissions."""
+    """Text files below path as submissions. Bytes that are no UTF-8 become replacement characters, as in a browser."""
     raw = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return raw.select(F.lit(author).alias("author"), F.lit("file").alias("kind"), F.lit("").alias("title"), F.decode("content", "UTF-8").alias("content"), F.lit("upload").alias("source"), name.alias("file_name"), F.lit("").alias("mime"), F.col("length").alias("bytes"))
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "")
+    return raw.select(F.lit(author).alias("author"), F.lit("file").alias("kind"), F.lit("").alias("title"), text.alias("content"), F.lit("upload").alias("source"), name.alias("file_name"), F.lit("").alias("mime"), F.col("length").alias("bytes"))
 
 
 def read_json(spark: SparkSession, path: str, author: str) -> DataFrame:
@@ -76,6 +79,47 @@ def read_json(spark: SparkSession, path: str, author: str) -> DataFrame:
     return raw.select(F.lit(author).alias("author"), F.lit("json").alias("kind"), "title", "content", "source", F.lit("").alias("file_name"), F.lit("").alias("mime"), F.lit(0).cast("long").alias("bytes"))
 
 
+def pasted(df: DataFrame) -> DataFrame:
+    """Pasted texts (author, title, content) as submissions: a blank title is PASTED; texts too short to be sent are left out."""
+    title = tx.trim(F.coalesce("title", F.lit("")))
+    sent = df.filter(F.length(tx.trim(F.coalesce("content", F.lit("")))) >= lx.MIN_CHARS)
+    rest = [c for c in df.columns if c not in ("kind", "title", "source", "file_name", "mime", "bytes")]
+    return sent.select(*rest, F.lit("json").alias("kind"), F.when(title == "", PASTED).otherwise(title).alias("title"), F.lit("paste").alias("source"), F.lit("").alias("file_name"), F.lit("").alias("mime"), F.lit(0).cast("long").alias("bytes"))
+
+
+def read_table(spark: SparkSession, url: str | None, table: str, key: str | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """A database table over JDBC. With a key (a whole-number column) it is read in `parts` ranges of the key, whose bounds
+    the database gives; so a large table is as many tasks. No url is an error, at once."""
+    if not url:
+        raise ValueError("a JDBC url is required")
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if key and parts > 1:
+        quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+        low, high = reader.option("query", f"SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {table}").load().first()
+        if low is not None:
+            reader = spark.read.format("jdbc").options(url=url, **options).options(partitionColumn=key, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=parts)
+    return reader.option("dbtable", table).load()
+
+
+def write_table(df: DataFrame, url: str | None, table: str, **options: str) -> None:
+    """Appends df to a database table over JDBC."""
+    if not url:
+        raise ValueError("a JDBC url is required")
+    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
+
+
+def prepended(listed_samples: DataFrame, new: DataFrame) -> DataFrame:
+    """A shown list (rank and others) with new samples (without rank) before it, the newest identifier first."""
+    n = new.count()
+    own = running(new.withColumn("_one", F.lit(1).cast("long")), [F.desc("id")], {"rank": "_one"}).withColumn("rank", F.col("rank") + 1).drop("_one")
+    return own.unionByName(listed_samples.withColumn("rank", F.col("rank") + n))
+
+
+def found(listed_samples: DataFrame, sample_id: int | None) -> DataFrame:
+    """The sample of that identifier, or no row."""
+    return listed_samples.filter(F.col("id") == F.lit(sample_id))
+
+
 def latest(profiles: DataFrame) -> DataFrame:
     """Each author's newest profile version."""
     whole = F.struct(*profiles.columns)
@@ -124,17 +168,21 @@ class Store:
     def add(self, submissions: DataFrame) -> DataFrame:
         """Stores what passes the gates and fits, rebuilds its authors' profiles, and gives the rejected with reasons.
 
-        submissions: author, and the columns of gated(); an `id` column orders them, as new identifiers follow it."""
+        submissions: author, and the columns of gated(). They count in the order of an `id` column, if there is one, and
+        get identifiers that follow the store's, one each; repeated and null ids are allowed."""
         top = self.table("samples").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         g = gated(submissions)
-        g = g if "id" in g.columns else g.withColumn("id", F.monotonically_increasing_id())
+        g = g if "id" in g.columns else g.withColumn("id", F.lit(None).cast("long"))
+        order = [F.asc_nulls_last("id"), F.asc("author"), F.xxhash64("title", "content")]
+        g = written(running(g.withColumn("_one", F.lit(1).cast("long")), order, {"_nr": "_one"}).drop("_one"), "batch")
         counts = self.samples().groupBy("author").agg(F.count("*").alias("n"))
-        good = within_capacity(g.filter("reason IS NULL"), counts, "id")
+        good = written(within_capacity(g.filter("reason IS NULL"), counts, "_nr"), "accepted")
         now = F.current_timestamp()
-        fresh = good.filter("NOT over").withColumn("id", F.lit(top + 1) + F.col("id")).withColumn("created_at", now).withColumn("updated_at", now)
+        fresh = good.filter("NOT over").withColumn("id", F.lit(top + 1) + F.col("_nr")).withColumn("created_at", now).withColumn("updated_at", now)
         rejected = written(g.filter("reason IS NOT NULL").select("author", "id", "reason").unionByName(good.filter("over").select("author", "id", F.lit("full").alias("reason"))), "rejected")
         self._append("samples", fresh)
-        self.rebuild(submissions.select("author").distinct())
+        self.rebuild(g.select("author").distinct())
+        dropped(g, good)
         return rejected
 
     def delete(self, author: str, sample_id: str) -> str:

@@ -117,6 +117,43 @@ def test_store(spark, tmp_path):
     assert len(r) == 1 and r[0].has_samples and s.table("rewrites").count() == 1
 
 
+def test_files_with_bad_bytes(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfgood " + b"\xff\xfe" + "é".encode() + b" end" * 20)
+    (tmp_path / "b.md").write_bytes("fine ünïcode text, long enough to be kept by the gate".encode())
+    got = {r.file_name: r for r in store.gated(store.read_files(spark, str(tmp_path), "me")).collect()}
+    assert got["a.txt"].content.startswith("good ��é end") and got["a.txt"].title == "a" and got["b.md"].reason is None and got["b.md"].source == "upload"
+
+
+def test_pasted_and_shown(spark):
+    rows = [("me", i, t, c) for i, (t, c) in enumerate([(None, "x" * 40), (" ", "y" * 50), (" T ", "z" * 41), ("short", "z" * 39), ("none", None)])]
+    got = store.gated(store.pasted(spark.createDataFrame(rows, "author string, id bigint, title string, content string"))).orderBy("id").collect()
+    assert [(r.title, r.source, r.reason) for r in got] == [(store.PASTED, "paste", None), (store.PASTED, "paste", None), ("T", "paste", None)]
+    shown = spark.createDataFrame([(1, 7), (2, 5)], "rank bigint, id bigint")
+    after = store.prepended(shown, spark.createDataFrame([(8,), (9,)], "id bigint"))
+    assert [(r.rank, r.id) for r in after.orderBy("rank").collect()] == [(1, 9), (2, 8), (3, 7), (4, 5)]
+    assert [r.id for r in store.found(after, 8).collect()] == [8] and store.found(after, None).count() == store.found(after, 1).count() == 0
+
+
+def test_database_tables(spark):
+    url = "jdbc:derby:memory:inkfathom;create=true"
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "id bigint, content string")
+    store.write_table(rows, url, "samples", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    got = store.read_table(spark, url, "samples", key="id", parts=4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 4 and sorted((r[0], r[1]) for r in got.collect()) == [(i, f"text {i}") for i in range(100)]
+    for f in (lambda: store.read_table(spark, "", "samples"), lambda: store.write_table(rows, None, "samples")):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_repeated_submission_ids(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store").create()
+    text = "This is a sample, and it is long enough to be kept. "
+    rows = [("me", 5, "json", f"t{i}", text + str(i), "paste", "", "", 0) for i in range(3)] + [("me", None, "json", "n", text, "paste", "", "", 0)]
+    new = spark.createDataFrame(rows, "author string, id bigint, kind string, title string, content string, source string, file_name string, mime string, bytes bigint")
+    assert s.add(new).count() == 0 and s.add(new.drop("id")).count() == 0
+    assert sorted(r.id for r in s.samples().collect()) == list(range(1, 9))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
