@@ -5,9 +5,10 @@ notices, adverts, forms, scripts, styles, comments of readers) drops its blocks;
 kept. What lies in neither, on pages with such an element as on others, is decided by repetition: the token streams of a host's
 pages are concatenated, their suffixes sorted (prefix doubling to the depth of the shortest substring that counts), and
 every substring of at least `min_tokens` tokens that stands on `min_pages` distinct pages is boilerplate; covered tokens
-go, the unique runs between them stay. Beside an article or main element, a whole shorter block on as many pages goes as well.
+go, the unique runs between them stay; a page of nothing else has no text. Beside an article or main element, a whole
+shorter block on as many pages goes as well. Pages with the same source are copies, not repetition: they count as one.
 
-A host's pages are dealt into groups of a bounded number of characters, so that a host with a third of all pages is as
+Only hosts with such pages are brought together; the pages of other hosts are done where they are read. A host's pages are dealt into groups of a bounded number of characters, so that a host with a third of all pages is as
 many groups, each with a suffix array of its own. Where a host of several groups has pages that repetition decides, the
 windows of `min_tokens` tokens are counted over all of its pages as well, so the groups do not show in the result.
 """
@@ -25,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .near_dedup import Words, windows
 
 MIN_TOKENS, MIN_PAGES = 12, 3
 GROUP_CHARS = 400_000
-#: Up to so many hosts of several groups (rows of about 60 bytes) their sizes are broadcast; beyond, joined by shuffle.
+#: Up to so many hosts (rows of about 60 bytes) are broadcast; beyond, joined by shuffle.
 BROADCAST_HOSTS = 20_000
 #: Elements, and words in class, id and role, that name what is no main text.
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg math canvas object button select textarea dialog menu head title datalist audio video".split())
@@ -50,6 +51,7 @@ HOLDERS = frozenset("box bar block wrapper wrap container holder inner outer are
 #: Readers' comments are no main text though they are articles, as an id inside an article too.
 READERS = frozenset("comment comments commentlist disqus respond replies".split())
 MODIFIERS = ("has-", "no-", "not-", "with-", "without-")
+STATES = ("-open", "-closed", "-enabled", "-disabled")
 NAMED_PAIRS = frozenset("side-bar sign-up skip-link site-header page-header top-bar".split())
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -70,8 +72,10 @@ def _named(attributes: str, inside: bool, tag: str = "div") -> tuple[bool, bool,
         if name not in ("class", "id", "role"):
             continue
         main = main or name == "role" and value == "main"
-        tokens = [x for x in value.replace("_", "-").split() if not x.startswith(MODIFIERS)]
-        if not inside:
+        tokens = [x for x in value.replace("_", "-").split() if not x.startswith(MODIFIERS) and not x.endswith(STATES)]
+        if tag in ("article", "main") and name != "role":  # by whole words only
+            named = named or not READERS.isdisjoint(tokens)
+        elif not inside:
             words = _NAME.findall(" ".join(tokens))
             named = named or not NAMED.isdisjoint(words) or not NAMED_PAIRS.isdisjoint(tokens) or not NAMED_OUTSIDE.isdisjoint(words)
         elif name == "role":
@@ -236,6 +240,9 @@ def repeat_keys(page: list[Block], host: str, length: int, words: Words) -> np.n
 
 def main_texts(pages: list[list[Block]], min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, host: str = "", repeats: np.ndarray | None = None) -> list[str]:
     """The main text of each of one host's pages. repeats: keys of windows known to be boilerplate from pages not given."""
+    numbers: dict[tuple, int] = {}
+    which = [numbers.setdefault(tuple(page), len(numbers)) for page in pages]
+    pages = [list(page) for page in numbers]
     vocabulary: dict[str, int] = {}
     words = [[b[0].split() for b in page] for page in pages]
     streams = [[vocabulary.setdefault(w, len(vocabulary)) for ws in page for w in ws] for page in words]
@@ -248,7 +255,7 @@ def main_texts(pages: list[list[Block]], min_tokens: int = MIN_TOKENS, min_pages
     for page, page_words, size in zip(pages, words, sizes):
         gone, at = covered[at : at + size], at + size
         decided = any(in_main for _, in_main in page)
-        if decided and all(in_main for _, in_main in page):
+        if all(in_main for _, in_main in page):
             out.append("\n\n".join(s for s, _ in page))
             continue
         if repeats is not None and len(repeats):
@@ -261,13 +268,13 @@ def main_texts(pages: list[list[Block]], min_tokens: int = MIN_TOKENS, min_pages
                 continue
             if run:
                 kept.append(" ".join(run))
-        out.append("\n\n".join(kept or [s for s, _ in page]))  # a page of nothing else is its own text
-    return out
+        out.append("\n\n".join(kept))
+    return [out[i] for i in which]
 
 
 def _host_repeats(docs: DataFrame, min_tokens: int, min_pages: int) -> DataFrame:
-    """(host, group, key) of windows on min_pages pages of a host or more, for the pages of docs (host, group, html) that
-    repetition decides. Only hosts with such pages are counted; each page counts a window once."""
+    """(host, group, key) of windows on min_pages pages of a host or more, for the pages of docs (number, host, group,
+    html) that repetition decides. Each page counts a window once, and pages with the same source count as one."""
 
     def keys(undecided: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,35 +291,58 @@ def _host_repeats(docs: DataFrame, min_tokens: int, min_pages: int) -> DataFrame
         return run
 
     kinds = "host string, group bigint, key bigint"
-    docs = docs.select("host", "group", "html")
-    targets = written(docs.mapInArrow(keys(True), kinds).distinct(), "windows")
-    hosts = targets.select("host").distinct()
-    counts = docs.join(hosts, "host", "left_semi").mapInArrow(keys(False), kinds).groupBy("key").count().filter(F.col("count") >= min_pages)
+    targets = written(docs.select("host", "group", "html").mapInArrow(keys(True), kinds).distinct(), "windows")
+    firsts = docs.groupBy("host", F.xxhash64("html").alias("_hash"), F.length("html").alias("_length")).agg(F.min("number").alias("number")).select("number")
+    once = docs.join(firsts, "number", "left_semi").select("host", "group", "html")
+    counts = once.mapInArrow(keys(False), kinds).groupBy("key").count().filter(F.col("count") >= min_pages)
     return targets.join(counts.select("key"), "key").select("host", "group", "key")
 
 
+def _open_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hosts with a page that markup does not decide as a whole."""
+    for b in batches:
+        hosts, found = b.column(0).to_pylist(), set()
+        for host, page in zip(hosts, b.column(1)):
+            if host not in found and not all(m for _, m in blocks(page.as_py())):
+                found.add(host)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["host"])
+
+
 def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, group_chars: int = GROUP_CHARS) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    Null and empty html give empty text; a null url is a host of its own; null page_ids stay null; repeated rows are
-    pages of their own. No pages give no rows. Other columns are not read.
+    Null and empty html give empty text, as does a page of boilerplate only; a null url is a host of its own; null
+    page_ids stay null; repeated rows get equal texts and are dealt out one by one. No pages give no rows. Other columns
+    are not read.
     """
+    bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    docs = pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    docs = pages.select(F.monotonically_increasing_id().alias("number"), "page_id", "url", host.alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    kind = docs.schema["page_id"].dataType.simpleString()
+    result = f"page_id {kind}, url string, text string, n_chars bigint"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = ["\n\n".join(s for s, _ in blocks(x.as_py())) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    open_hosts = written(docs.select("host", "html").mapInArrow(_open_hosts, "host string").distinct(), "hosts")
+    few = open_hosts.count()
+    if not few:
+        return docs.select("page_id", "url", "html").mapInArrow(read, result)
+    small = lambda df: F.broadcast(df) if few <= BROADCAST_HOSTS else df
+    done = docs.join(small(open_hosts), "host", "left_anti").select("page_id", "url", "html").mapInArrow(read, result)
+    docs = docs.join(small(open_hosts), "host", "left_semi")
     sizes = docs.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / group_chars).alias("groups")).filter("groups > 1").withColumnRenamed("host", "_host")
-    sizes = sizes.persist()
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes
-    docs = docs.join(sizes, F.col("host") == F.col("_host"), "left")
-    group = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce(F.col("groups"), F.lit(1)))
+    docs = docs.join(small(written(sizes, "sizes")), F.col("host") == F.col("_host"), "left")
+    group = F.pmod(F.xxhash64("number"), F.coalesce(F.col("groups"), F.lit(1)))
     many = F.col("groups").isNotNull().alias("many")
-    docs = docs.select("page_id", "url", "host", group.alias("group"), "html", many)
-    repeats = _host_repeats(docs.filter("many"), min_tokens, min_pages)
-    docs = docs.drop("many")
-    kind = docs.schema["page_id"].dataType.simpleString()
+    docs = docs.select("number", "page_id", "url", "host", group.alias("group"), "html", many)
+    repeats = _host_repeats(docs.filter("many").select("number", "host", "group", "html"), min_tokens, min_pages)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [blocks(h) for h in b.column(4).to_pylist()]
+            found = [blocks(x.as_py()) for x in b.column(4)]
             texts = pa.array([[s for s, _ in x] for x in found], pa.list_(pa.string()))
             mains = pa.array([[m for _, m in x] for x in found], pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], texts, mains], names=["page_id", "url", "host", "group", "texts", "mains"])
@@ -325,5 +355,5 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN
         texts = main_texts(found, min_tokens, min_pages, table["host"][0].as_py(), np.array(known["key"], np.int64))
         return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
-    parsed = docs.mapInArrow(parse, f"page_id {kind}, url string, host string, group bigint, texts array<string>, mains array<boolean>")
-    return parsed.groupBy("host", "group").cogroup(repeats.groupBy("host", "group")).applyInArrow(decide, f"page_id {kind}, url string, text string, n_chars bigint")
+    parsed = docs.select("page_id", "url", "host", "group", "html").mapInArrow(parse, f"page_id {kind}, url string, host string, group bigint, texts array<string>, mains array<boolean>")
+    return done.unionByName(parsed.groupBy("host", "group").cogroup(repeats.groupBy("host", "group")).applyInArrow(decide, result))
