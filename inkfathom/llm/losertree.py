@@ -1,10 +1,7 @@
-"""A k-way merge of sorted runs by a tournament tree of losers, with runs that may lie on disk."""
+"""A k-way merge of sorted runs by a tournament tree of losers."""
 
 from __future__ import annotations
 
-import os
-import pickle
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 
@@ -54,39 +51,3 @@ class LoserTree:
                     self.tree[node], best = best, self.tree[node]
                 node //= 2
             self.tree[0] = best
-
-
-def external_merge(batches: Iterable[list], key: Callable, rows_in_memory: int = 200_000) -> Iterator:
-    """All rows of the batches in key order. Each batch becomes a sorted run; runs beyond the memory bound lie in one
-    temporary file of this task, which is gone when the merge ends or fails."""
-    kept: list[list] = []
-    with tempfile.TemporaryFile() as spill:
-        on_disk: list[tuple[int, int]] = []
-
-        def flush() -> None:
-            start, rows = spill.tell(), 0
-            for row in LoserTree(kept, key):
-                pickle.dump(row, spill)
-                rows += 1
-            on_disk.append((start, rows))
-            kept.clear()
-
-        held = 0
-        for batch in batches:
-            kept.append(sorted(batch, key=key))
-            held += len(batch)
-            if held >= rows_in_memory:
-                flush()
-                held = 0
-        if not on_disk:
-            yield from LoserTree(kept, key)
-            return
-        spill.flush()
-
-        def read(start: int, rows: int) -> Iterator:
-            with os.fdopen(os.open(f"/proc/self/fd/{spill.fileno()}", os.O_RDONLY), "rb") as f:
-                f.seek(start)
-                for _ in range(rows):
-                    yield pickle.load(f)
-
-        yield from LoserTree([*(read(*x) for x in on_disk), *kept], key)

@@ -7,8 +7,10 @@ is the writer's line separator. read_archives() splits on the records' first two
 capture set by a random identifier, so no payload can hold the separator; it checks every length and digest.
 
 capture_index() merges the archives' entries into one global order by URL key, time and page: every archive is a locally
-sorted run; runs are cut at the ranges' bounds, and each range's pieces are merged by a loser tree, on disk beyond a
-bound. A URL key with a third of all captures spreads over many ranges, as time and page are parts of the order.
+sorted run, whose rows keep their run's and their place's number. Runs are cut at the bounds of key ranges of a bounded
+number of rows; a range's pieces arrive run by run, each in its own order, and a loser tree merges them without sorting
+any key again. A URL key, or a page, with a third of all captures spreads over many ranges, as the numbers are the
+order's last part.
 """
 
 from __future__ import annotations
@@ -16,16 +18,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, written
-from .losertree import external_merge
+from .losertree import LoserTree
 
 REVISIT_BYTES = 100
 EPOCH = "2024-01-01T00:00:00Z"
 INDEX = "url_key string, ts string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+#: Entries that one task of the merge holds, about.
+RANGE_ROWS = 100_000
 _END = "\r\n\r\n"
 
 
@@ -105,34 +110,28 @@ def read_archives(spark: SparkSession, path: str, capture_set: str) -> DataFrame
     return r.select(url_key(F.col("url")).alias("url_key"), "ts", "page_id", F.when(F.col("has_url"), F.col("url")).alias("url"), "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
 
 
-def _order(row: tuple) -> tuple:
-    return row[0], row[1], row[2] is None, row[2] or 0, row[5]
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema, out = None, []
-
-    def runs() -> Iterator[list]:
-        nonlocal schema
-        for b in batches:
-            schema = b.schema
-            yield list(zip(*(c.to_pylist() for c in b.columns)))
-
-    for row in external_merge(runs(), _order):
-        out.append(row)
-        if len(out) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+    """A range's entries in order; they come run by run (`_place`: the run's number, shifted by 33 bits, and the place in it)."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    place = np.array(table["_place"])
+    keys = list(zip(table["url_key"].to_pylist(), table["ts"].to_pylist(), ((x is None, x or 0) for x in table["page_id"].to_pylist()), table["payload_digest"].to_pylist(), place.tolist()))
+    bounds = [0, *(np.flatnonzero(np.diff(place >> 33)) + 1).tolist(), len(place)]
+    order = list(LoserTree([range(a, b) for a, b in zip(bounds, bounds[1:])], keys.__getitem__))
+    table = table.drop_columns("_place")
+    for at in range(0, len(order), 10_000):
+        yield from table.take(order[at : at + 10_000]).combine_chunks().to_batches()
 
 
 def capture_index(entries: DataFrame) -> DataFrame:
     """entries (INDEX's columns) in global order by url_key, ts, page_id over consecutive partitions."""
-    order = [F.asc_nulls_last(c) for c in ("url_key", "ts", "page_id")]
-    runs = written(entries.sortWithinPartitions(*order), "runs")
+    order = [F.asc_nulls_last(c) for c in ("url_key", "ts", "page_id", "payload_digest")]
     names = [x.split()[0] for x in INDEX.split(", ")]
-    return runs.select(*names).repartitionByRange(*order).mapInArrow(_merge, INDEX)
+    runs = written(entries.select(*names).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "runs")
+    ranges = max(1, -(-runs.count() // RANGE_ROWS))
+    return runs.repartitionByRange(ranges, *order, F.asc("_place")).sortWithinPartitions("_place").mapInArrow(_merge, INDEX)
 
 
 def archived_captures(pages: DataFrame, path: str | None = None, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
