@@ -1,10 +1,14 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
 Card numbers (Luhn), IBANs (mod 97), phone and social security numbers, IPv4 addresses, calendar dates and e-mail
-addresses are found and validated; each valid value is permuted within its own format by a Feistel network whose round
-function is keyed BLAKE2b. The permutation is a bijection, so equal values stay equal and distinct ones distinct in all
-documents; a card gets a fitting check digit, a date stays a date. Walking on (permuting again) until the format's own
-rule holds keeps it a bijection of the valid values. Separators and the rest of the text stay as they are.
+addresses are found and validated; each valid value is brought into a canonical form (a number's digits, a phone's country
+code and subscriber digits, a day, an address in lower case), which a Feistel network whose round function is keyed
+BLAKE2b permutes, and is written as the value found was. So one value stays one value in whatever spelling, distinct ones
+stay distinct in all documents; a card and an IBAN get fitting check digits, a date stays a date. Walking on (permuting
+again) until the format's own rule holds keeps it a bijection of the valid values. The rest of the text stays as it is.
+
+Slashed dates are read day first unless the second number is above 12; so that they are read alike again, days up to 12
+stay among themselves in every spelling. A phone without a country code links with a North American one (+1) only.
 
 A match that does not hold as a whole is tried at its earlier ends, and scanning goes on behind what was accepted or,
 where nothing was, inside the match. The choice of the end looks at the value alone, so that equal values stay equal;
@@ -22,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email")
 ROUNDS = 10
 #: Fixed patterns, tried in this order where several could start at one place.
@@ -49,6 +55,8 @@ IBAN_LENGTHS = {
     ).split())
     for country in countries.split(",")
 }
+#: Country calling codes: these of two digits, 1 and 7, all others of three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -159,23 +167,29 @@ def card(f: Feistel, s: str, back: bool = False) -> str | None:
     return _refit(s, new + luhn_digit(new))
 
 
+def _iban_check(country: str, body: str) -> str:
+    return f"{98 - _iban_number(country, '00', body) % 97:02d}"
+
+
 def iban(f: Feistel, s: str, back: bool = False) -> str | None:
+    """Only canonical check digits (02 to 98) are valid: 00, 01 and 99 would be second names of other numbers."""
     d = s.replace(" ", "")
-    if not 15 <= len(d) <= 34 or _iban_number(d[:2], d[2:4], d[4:]) % 97 != 1:
+    if not 15 <= len(d) <= 34 or _iban_check(d[:2], d[4:]) != d[2:4]:
         return None
-    body = _alnum(f, "iban", d[4:], back)
-    return _refit(s, f"{d[:2]}{98 - _iban_number(d[:2], '00', body) % 97:02d}{body}")
+    body = _alnum(f, f"iban{d[:2]}", d[4:], back)
+    return _refit(s, f"{d[:2]}{_iban_check(d[:2], body)}{body}")
 
 
 def phone(f: Feistel, s: str, back: bool = False) -> str | None:
     d = re.sub(r"\D", "", s)
     if not 7 <= len(d) <= 15:
         return None
-    american = len(d) == 10 and s[0] != "+" or len(d) == 11 and s.startswith("+1")
-    if american and _nanp(d[-10:]):
-        return _refit(s, d[:-10] + f.digits("phone", d[-10:], _nanp, back))
-    keep = len(re.match(r"\+?(\d{0,3})", s)[1]) if s[0] == "+" and not s[1:].isdigit() else 2 if s[0] == "+" else 0
-    return _refit(s, d[:keep] + f.digits(f"phone{d[:keep]}", d[keep:], back=back))
+    code = "" if s[0] != "+" else d[0] if d[0] in "17" else d[:2] if d[:2] in TWO_DIGIT_CODES else d[:3]
+    own = d[len(code) :]
+    if len(own) == 10 and code in ("", "1"):  # one numbering plan, with and without its code
+        american = _nanp(own)
+        return _refit(s, code + f.digits("phone", own, lambda x: _nanp(x) == american, back))
+    return _refit(s, code + f.digits(f"phone{code}", own, back=back)) if own else None
 
 
 def ssn(f: Feistel, s: str, back: bool = False) -> str | None:
@@ -194,17 +208,11 @@ def ip(f: Feistel, s: str, back: bool = False) -> str | None:
 
 
 def date(f: Feistel, s: str, back: bool = False) -> str | None:
-    if "-" in s:
-        order, parts, sep = "ymd", s.split("-"), "-"
-    else:
-        sep = "." if "." in s else "/"
-        parts = s.split(sep)
-        if len(parts) != 3 or any(len(p) == 1 for p in parts[:2]):
-            order = "dmy" if sep == "." else "mdy"
-        else:
-            order = "dmy" if sep == "." else "mdy" if int(parts[1]) > 12 else "dmy"
+    sep = re.sub(r"\d", "", s)[:1]
+    parts = s.split(sep)
     if len(parts) != 3:
         return None
+    order = "ymd" if sep == "-" else "mdy" if sep == "/" and int(parts[1]) > 12 else "dmy"
     y, m, d = (int(parts[order.index(c)]) for c in "ymd")
     try:
         day = datetime.date(y, m, d).toordinal()
@@ -212,22 +220,17 @@ def date(f: Feistel, s: str, back: bool = False) -> str | None:
         return None
     if not _FIRST <= day <= _LAST:
         return None
-    tag = f"date{order}{sep}"
-    # an ambiguous month/day order must be read the same way again, so those stay among themselves
-    swap = "/" == sep and len(parts[0]) == 2
-
-    def readable(x: int) -> bool:
-        return not swap or (order == "mdy") == (datetime.date.fromordinal(_FIRST + x).day > 12 and order == "mdy")
-
-    new = datetime.date.fromordinal(_FIRST + f.below(tag, day - _FIRST, _LAST - _FIRST + 1, readable, back))
-    text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-    return sep.join(text[c] for c in order)
+    late = d > 12
+    new = datetime.date.fromordinal(_FIRST + f.below("date", day - _FIRST, _LAST - _FIRST + 1, lambda x: (datetime.date.fromordinal(_FIRST + x).day > 12) == late, back))
+    value = {"y": new.year, "m": new.month, "d": new.day}
+    return sep.join(f"{value[c]:0{min(len(p), 4)}d}" for c, p in zip(order, parts))
 
 
 def email(f: Feistel, local: str, host: str, rest: str, back: bool = False) -> str | None:
     both = local + "@" + host
     symbols = "".join(c for c in both if c.isalnum())
-    return _refit(both, _alnum(f, "email" + rest, symbols, back)) + rest if symbols else None
+    new = _alnum(f, f"email|{re.sub('[A-Za-z0-9]', 'x', both)}|{rest.lower()}", symbols.lower(), back)
+    return _refit(both, "".join(n.upper() if c.isupper() else n for c, n in zip(symbols, new))) + rest if symbols else None
 
 
 _NUMBER_KINDS = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "iso": date, "day": date}
@@ -290,6 +293,9 @@ def pseudonyms(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     Null text stays null with counts of 0, empty text stays empty. Repeated rows give repeated results, an empty table
     an empty one; other columns are not read. The key is a secret of the caller; the same key gives the same pseudonyms.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key.encode())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import caps, exact_dedup, html_text, language, mixing, near_dedup, packing, pseudonyms, secrets, warc
@@ -48,7 +50,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonyms(_table(spark, sf_dir, "documents"), key=spark.conf.get("inkfathom.pseudonym.key", "only for tests: set inkfathom.pseudonym.key"))
+    """Keyed by inkfathom.pseudonym.key. A session without one gets a random key of its own: such pseudonyms cannot be
+    turned back, and link documents within the session only."""
+    key = spark.conf.get("inkfathom.pseudonym.key", None)
+    if not key:
+        key = uuid.uuid4().hex + uuid.uuid4().hex
+        spark.conf.set("inkfathom.pseudonym.key", key)
+    return pseudonyms.pseudonyms(_table(spark, sf_dir, "documents"), key)
 
 
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
