@@ -8,7 +8,7 @@ powers of two, which need no padding either (at most one of each size a task). S
 groups of equal tokens; the tiers' last incomplete groups are merged, longest first into the lightest.
 
 One pass over the scan's partitions, no shuffle: a task holds `block_ids` ids and the open windows, whatever the length
-of a document, and a lost task is done again with the same result.
+of a document (a long text is encoded twice, for its number of ids first), and a lost task is done again with the same result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 TIERS = (256, 512, 1024, 2048)
 STEP_IDS = 65_536
 END_ID = 1
@@ -37,15 +39,33 @@ PART_CHARS = 200_000
 _BORDER = re.compile(r"[A-Za-z](?= [A-Za-z])")
 
 
+def _checked(spec: dict) -> None:
+    """Raises where a tokenizer file asks for anything that Encoder would not do as the tokenizers library does."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [k for k in ("normalizer", "post_processor", "truncation", "padding") if spec.get(k)]
+    wrong += ["pre_tokenizer"] * (pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") is not False or pre.get("use_regex", True) is not True)
+    wrong += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["model"] * (model["type"] != "BPE")
+    wrong += [t["content"] for t in spec["added_tokens"] if not t["special"] or any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    by_rank = sorted(model["vocab"], key=model["vocab"].get)
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    added = {t["content"] for t in spec["added_tokens"]}
+    if [t for t in by_rank if t not in added][256:] != made:  # tiktoken merges by identifier, the library by the merges' order
+        wrong.append("merges")
+    if wrong:
+        raise ValueError(f"this tokenizer file needs what the encoder does not do: {', '.join(wrong)}")
+
+
 class Encoder:
     """Ids of a byte-level BPE tokenizer file (tokenizers' JSON), special tokens in texts included, as that library gives
-    them; encoded by tiktoken, which takes a quarter of the time and needs no offsets."""
+    them; encoded by tiktoken, which takes a quarter of the time and needs no offsets. Files that ask for more are refused."""
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _checked(spec)
         # fixed rule of byte-level files: printable bytes stand for themselves, the others for characters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(sorted(set(range(256)) - set(shown)))}
@@ -182,23 +202,25 @@ def _packed(tokenizer: str, tiers: tuple[int, ...], step_ids: int, end_id: int,
 
         for batch in batches:
             encoder = encoder or Encoder(tokenizer)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held, total, cut = np.empty(0, "<u4"), 0, []
+            for doc_id, text in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
+                held, total = np.empty(0, "<u4"), 0
+                # a piece names its document's number of ids: a text of several parts is encoded twice, not held
+                doc = (doc_id, sum(map(len, encoder.parts(text))) + 1) if len(text or "") > PART_CHARS else None
                 for ids in encoder.parts(text or ""):
                     held, at = np.concatenate([held, ids]) if len(held) else ids, 0
-                    while len(held) - at > size:
-                        cut.append((total, held[at : at + size].copy()))
+                    while doc and len(held) - at > size:
+                        packer.whole(Piece(doc, total, held[at : at + size].copy()))
                         total, at = total + size, at + size
                     held = held[at:]
+                    if len(packer.ready) > 500:
+                        yield from rows(packer.flush())
                 held = np.append(held, np.uint32(end_id)).astype("<u4")
-                doc = (doc_id, total + len(held))
-                for start, ids in cut:
-                    packer.whole(Piece(doc, start, ids))
+                doc = doc or (doc_id, total + len(held))
                 while len(held) >= size:
                     packer.whole(Piece(doc, total, held[:size]))
                     total, held = total + size, held[size:]
                 packer.route(Piece(doc, total, held))
-                if packer.pool.ids >= packer.block_ids or len(packer.ready) > 5_000:
+                if packer.pool.ids >= packer.block_ids or len(packer.ready) > 500:
                     yield from rows(packer.flush())
         yield from rows(packer.flush(final=True))
 
@@ -211,6 +233,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     Null and empty texts are documents of the end id alone. A null identifier stays null; repeated rows are packed as
     often as they come. An empty table gives no rows. Other columns are not read. Context sizes must be powers of two.
     """
+    bounded_batches(df.sparkSession)
     if not tiers or any(t < 1 or t & (t - 1) for t in tiers):
         raise ValueError("context sizes are powers of two")
     from pyspark.sql.pandas.types import to_arrow_type
