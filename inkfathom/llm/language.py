@@ -15,9 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 UNDETERMINED = "und"
 #: The bound on labelled rows that are fitted, shared evenly by the labels.
 TRAIN_ROWS = 3_000
@@ -152,13 +154,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """A model of at most about `rows` labelled rows that are not held out, rows // labels of each label, by a hash of the identifier."""
+    """A model of at most `rows` labelled rows that are not held out, rows // labels of each label, by a hash of the
+    identifier and text; repeated rows count once. `rows` is at least the number of labels; it bounds rows only, so every
+    label is learned."""
+    bounded_batches(df.sparkSession)
     labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter(~held_out("id") & F.col("label").isNotNull())
-    sizes = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(rows).collect()
+    sizes = labelled.groupBy("label").count().limit(rows + 1).collect()
     if not sizes:
         return Model([], np.zeros((0, 0), np.float32), {}, {})
+    if len(sizes) > rows:
+        raise ValueError(f"more than {rows} labels: learn from more rows")
     each = max(1, rows // len(sizes))
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(-1)), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*itertools.chain(*((F.lit(r["label"]), F.lit(min(1.0, each / r["count"]))) for r in sizes))), F.col("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +176,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                     yield pa.RecordBatch.from_arrays([pa.array([i], b.schema.field(0).type), pa.array([n]), pa.array([x.astype(np.float16).tobytes()])], names=["id", "label", "x"])
 
     kind = labelled.schema["id"].dataType.simpleString()
-    sample = labelled.filter(place < share).select("id", "text", "label").mapInArrow(run, f"id {kind}, label string, x binary").collect()
+    # more than are wanted, so that no label comes out empty by chance; of those each label's first by the hash
+    drawn = labelled.filter(place < 4 * share).select("id", "text", "label", place.alias("place")).distinct()
+    first = F.row_number().over(Window.partitionBy("label").orderBy("place", "id", "text"))
+    drawn = drawn.withColumn("_nth", first).filter(F.col("_nth") <= each)
+    sample = drawn.select("id", "text", "label").mapInArrow(run, f"id {kind}, label string, x binary").collect()
     sample.sort(key=lambda r: (r["id"] is None, r["id"], r["label"], r["x"]))
     if not sample:
         return Model([], np.zeros((0, 0), np.float32), {}, {})
@@ -183,13 +194,14 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with lang_pred and score added; a column of df so named is replaced. Only the text is read by the model."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(df.sparkSession)
     rest = df.select(*[c for c in df.columns if c not in ("lang_pred", "score")])
     schema = rest.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     at, arrow = rest.columns.index(text_col), to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.predict(features(t)) for t in b.column(at).to_pylist()]
+            got = [model.predict(features(t.as_py())) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=arrow.names)
 
     return rest.mapInArrow(run, schema)
