@@ -96,7 +96,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
 
 def unique_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_dedup drops (one row of each repeated row stays); df's own columns.
+    """df without the rows that exact_dedup drops (one row of each repeated row stays); df's own columns, whatever their names.
+
+    A null text is an empty one. A null identifier loses to any other; where all of equal texts have none, one row stays.
+    Among rows with the kept identifier and equal texts, one stays. An empty table gives an empty one.
 
     A dropped row is one whose identifier and text are; where identifiers are unique and not null, the identifier tells it.
     """

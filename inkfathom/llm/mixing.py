@@ -124,6 +124,9 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """df's rows as often as the mix takes them, each source's one partial document cut after its taken words; df's own columns.
 
     A document taken taken = q * size + rest words is repeated q times, and once more with its first `rest` words.
+    Null, empty and blank texts have no words and do not come. Rows with null identifiers or sources count as mix() says;
+    of rows alike in identifier, source and size, texts in order are matched with the plan's rows, the least taken first.
+    An empty table gives an empty one.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     source_col = options.get("source_col", "source")

@@ -6,9 +6,12 @@
 2. Documents with the same set are one class, its smallest identifier the representative; only those go on.
 3. In every bucket (equal band key) each member meets the bucket's smallest member: as many pairs as members. Pairs that
    the sketches do not rule out are confirmed on the full sets of both whole texts.
-4. Buckets whose other members still lie in several components are compared in blocks of bounded size, by sketch first,
-   then exactly, most similar first, skipping what is connected already. So every pair in a bucket is either tested,
-   ruled out, or known to be connected, and only connecting links are emitted.
+4. Where a bucket's other members still lie in several components, those outside its largest component are strays. While
+   that is many comparisons, the bucket's smallest stray meets all members of other components, as in 3, and is done
+   with; each such round may connect most of what is left. Then strays are compared with the members in blocks bounded
+   in rows and in shingles, by sketch first, then exactly, most similar first, skipping what is connected already. So
+   every pair in a bucket is either tested, ruled out, or known to be connected, and only connecting links are emitted;
+   members of the largest component, however many, are not compared with one another.
 5. Components by large and small stars.
 
 A link at similarity 0.8 is in no common bucket with probability (1 - 0.8 ** ROWS) ** BANDS, 0.000015.
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, written
+from .common import bounded_batches, carried, dropped, written
 from .components import Forest, components
 
 ROWS, BANDS = 5, 28
@@ -32,7 +35,12 @@ ROWS, BANDS = 5, 28
 BINS, BITS = 1024, 2048
 #: Standard deviations that the sketches' verdict leaves to chance.
 SLACK = 5.0
-BLOCK = 512
+#: A block of strays or members holds about so many rows, and so many shingles, at most.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Rounds of pivots go on while strays times members are more than so many times the rows, and while they help.
+PIVOT_WORK = 256
+#: Rows that a task gives out at once.
+ROWS_OUT = 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -49,7 +57,7 @@ class Words(dict):
     """64-bit hashes of words, kept for those seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 50_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -63,9 +71,9 @@ def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return total
 
 
-def shingles(text: str | None, n: int, words: Words) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-word shingles; of the whole sequence where it has fewer words."""
-    found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+def shingles(text: bytes | None, n: int, words: Words) -> np.ndarray:
+    """The sorted distinct hashes of a UTF-8 text's n-word shingles; of the whole sequence where it has fewer words."""
+    found = text.translate(_LOWER).split() if text else []
     if not found:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
@@ -123,21 +131,26 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def _features(n: int, id_type: pa.DataType):
+def _utf8(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts as bytes, one at a time."""
+    return (x.as_py() for x in column.cast(pa.binary()))
+
+
+def _features(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, multipliers = Words(), _multipliers()
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+        names = ["id", "n", "set", "sketch", "samples", "bands"]
         for b in batches:
-            rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(text, n, words)
-                if not len(s):
-                    rows.append((i, 0, None, None, 0, None))
-                    continue
-                sketch, samples = odd_sketch(s)
-                rows.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), sketch.tobytes(), samples, band_keys(s, multipliers)))
-            types = [id_type, pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-            names = ["id", "n", "set", "sketch", "samples", "bands"]
-            if rows:
+            for at in range(0, b.num_rows, ROWS_OUT):
+                part, rows = b.slice(at, ROWS_OUT), []
+                for i, text in zip(part.column(0).to_pylist(), _utf8(part.column(1))):
+                    s = shingles(text, n, words)
+                    if not len(s):
+                        rows.append((i, 0, None, None, 0, None))
+                        continue
+                    sketch, samples = odd_sketch(s)
+                    rows.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), sketch.tobytes(), samples, band_keys(s, multipliers)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return run
@@ -165,7 +178,7 @@ def _confirmed(n: int, percent: int):
         words, last, kept = Words(), None, None
         for b in batches:
             ok = []
-            for one, x, y in zip(b["a"].to_pylist(), b["_text_a"].to_pylist(), b["_text_b"].to_pylist()):
+            for one, x, y in zip(b["a"].to_pylist(), _utf8(b["_text_a"]), _utf8(b["_text_b"])):
                 if (one, x) != last:  # rows come sorted by a
                     last, kept = (one, x), shingles(x, n, words)
                 ok.append(linked(kept, shingles(y, n, words), percent))
@@ -176,7 +189,7 @@ def _confirmed(n: int, percent: int):
 
 def _pairs_of(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) in different components that the sketches do not rule out, most alike first; across chunks only where
-    the group is of two chunks."""
+    the block is of two chunks."""
     ids, chunk, component = (np.array(table[c]) for c in ("id", "chunk", "component"))
     n, samples = (np.array(table[c], float) for c in ("n", "samples"))
     sketches = _sketches(table["sketch"].combine_chunks())
@@ -199,26 +212,65 @@ def _pairs_of(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarra
     return pairs[0], pairs[1]
 
 
+def _blocks(others: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(k, lo, hi, chunk, id, component): every pair of a bucket's strays, and of a stray and another member, meets in one
+    block (k, lo, hi) of two chunks (or one). Strays are dealt into the chunks from 0 on, the others into those behind."""
+    spread = lambda rows, size: F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(size) / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    m = others.join(mixed.withColumn("few", spread("strays", "stray_size")).withColumn("many", spread("rest", "rest_size")), "k")
+    stray, number = F.col("component") != F.col("major"), F.xxhash64("id")
+    m = m.withColumn("chunk", F.when(stray, F.pmod(number, F.col("few"))).otherwise(F.col("few") + F.pmod(number, F.col("many"))))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(stray, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)))
+    return m.select("k", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id", "component")
+
+
+def _mixed(others: DataFrame) -> DataFrame:
+    """(k, major, strays, stray_size, rest, rest_size) of the buckets whose members lie in several components: the largest
+    of them, and the rows and shingles outside and inside it."""
+    parts = others.groupBy("k", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
+    of = parts.groupBy("k").agg(F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.max(F.struct("rows", "component", "size")).alias("top")).filter("rows > top.rows")
+    return of.select("k", F.col("top.component").alias("major"), (F.col("rows") - F.col("top.rows")).alias("strays"), (F.col("size") - F.col("top.size")).alias("stray_size"), F.col("top.rows").alias("rest"), F.col("top.size").alias("rest_size"))
+
+
 def near_links(df: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """(a, b): links that connect whatever is connected among the representatives (id, n, sketch, samples, bands)."""
     similarity = percent / 100
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    entries = reps.select("id", F.explode("bands").alias("k"))
+    sketches = reps.select("id", "n", "sketch", "samples")
+    sides = [sketches.withColumnRenamed("id", "b"), sketches.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"), F.col("samples").alias("_samples"))]
+
+    def tested(met: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are links."""
+        pairs = written(met.distinct().join(sides[0], "b").join(sides[1], "a").mapInArrow(_possible(similarity), "a bigint, b bigint"), "pairs")
+        both = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_text_b")), "b").join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_text_a")), "a")
+        links = written(both.mapInArrow(_confirmed(n, percent), "a bigint, b bigint").distinct(), "links")
+        dropped(pairs)
+        return links
+
+    def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+        label = components(links)
+        return written(members.select("k", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("component")), "others")
+
+    entries = reps.select("id", "n", F.explode("bands").alias("k"))
     buckets = written(entries.groupBy("k").agg(F.min("id").alias("a"), F.count("*").alias("rows")).filter("rows > 1"), "buckets")
     grouped = written(entries.join(buckets, "k").filter("id != a"), "grouped")
-    sides = [reps.select(F.col("id").alias("b"), "n", "sketch", "samples"), reps.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"), F.col("samples").alias("_samples"))]
-    pairs = grouped.select("a", F.col("id").alias("b")).distinct().join(sides[0], "b").join(sides[1], "a").mapInArrow(_possible(similarity), "a bigint, b bigint")
-    pairs = written(pairs.distinct(), "pairs")
-    both = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_text_b")), "b").join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_text_a")), "a")
-    links = written(both.mapInArrow(_confirmed(n, percent), "a bigint, b bigint").distinct(), "links")
-
-    label = components(links)
-    others = grouped.filter("rows > 2").select("k", "id").join(label.withColumnRenamed("node", "id"), "id", "left")
-    others = written(others.select("k", "id", F.coalesce("component", "id").alias("component")), "others")
-    mixed = others.groupBy("k").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("rows")).filter("_x < _y").select("k", F.ceil(F.col("rows") / BLOCK).alias("chunks"))
-    members = others.join(mixed, "k").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    members = members.select("k", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id", "component").join(reps.select("id", "n", "sketch", "samples"), "id")
+    dropped(buckets)
+    links = tested(grouped.select("a", F.col("id").alias("b")))
+    others = labelled(grouped.filter("rows > 2"), links)
+    dropped(grouped)
+    before = float("inf")
+    while True:
+        mixed = written(_mixed(others), "mixed")
+        work, rows = mixed.agg(F.coalesce(F.sum(F.col("strays") * (F.col("strays") + F.col("rest")).cast("double")), F.lit(0.0)), F.coalesce(F.sum(F.col("strays") + F.col("rest")), F.lit(0))).first()
+        if work <= PIVOT_WORK * rows or work > 0.9 * before:
+            break
+        strays = others.join(mixed.select("k", "major"), "k").filter("component != major")
+        pivots = strays.groupBy("k").agg(F.min("id").alias("pivot"))
+        pivots = written(strays.join(pivots, "k").filter("id = pivot").select("k", "pivot", F.col("component").alias("_own")).distinct(), "pivots")
+        links = links.union(tested(others.join(pivots, "k").filter("component != _own").select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
+        others, old = labelled(others.join(pivots.select("k", F.col("pivot").alias("id")), ["k", "id"], "left_anti"), links), others
+        dropped(old, mixed, pivots)
+        before = work
+    members = _blocks(others, mixed).join(sketches, "id")
 
     def open_members(table: pa.Table) -> pa.Table:
         i, j = _pairs_of(table, similarity)
@@ -229,21 +281,23 @@ def near_links(df: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: in
 
     def confirm(table: pa.Table) -> pa.Table:
         words, forest, sets = Words(), Forest(), {}
-        ids, component, text = (table[c].to_pylist() for c in ("id", "component", "_text"))
+        ids, component, text = table["id"].to_pylist(), table["component"].to_pylist(), table["_text"].cast(pa.binary())
         for x, y in zip(*_pairs_of(table, similarity)):
             one, two = ("c", component[x]), ("c", component[y])
             if forest.find(one) == forest.find(two):
                 continue
             for z in (x, y):
                 if z not in sets:
-                    sets[z] = shingles(text[z], n, words)
+                    sets[z] = shingles(text[z].as_py(), n, words)
             if linked(sets[x], sets[y], percent):
                 forest.join(one, two, edge=False)
                 forest.edges.append((ids[x], ids[y]))
         return pa.table({"a": pa.array([e[0] for e in forest.edges], pa.int64()), "b": pa.array([e[1] for e in forest.edges], pa.int64())})
 
     more = still.join(texts.select(F.col("_id").alias("id"), "_text"), "id").groupBy("k", "lo", "hi").applyInArrow(confirm, "a bigint, b bigint")
-    return links.union(written(more, "more"))
+    more = written(more, "more")
+    dropped(others, mixed, still)
+    return links.union(more)
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -255,10 +309,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     identifier is linked with nothing and is its own, null, component. An empty table gives an empty result; other
     columns are not read.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = written(docs.mapInArrow(_features(words, to_arrow_type(docs.schema["id"].dataType)), "id bigint, n bigint, set binary, sketch binary, samples bigint, bands array<bigint>"), "features")
+    found = written(docs.mapInArrow(_features(words), "id bigint, n bigint, set binary, sketch binary, samples bigint, bands array<bigint>"), "features")
     sets = found.filter("n > 0 AND id IS NOT NULL")
     classes = written(sets.groupBy("set").agg(F.min("id").alias("rep")), "classes")
     reps = written(sets.join(classes.select(F.col("rep").alias("id"), "set"), ["id", "set"], "left_semi").dropDuplicates(["id", "set"]).drop("set"), "reps")
@@ -275,6 +328,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """df without the rows that near_dedup does not keep; df's own columns."""
+    """df without the rows that near_dedup does not keep; df's own columns, whatever their names.
+
+    Rows with a null identifier, and texts without words (null, empty, blank), are linked with nothing and stay, as do all
+    rows repeated with a kept identifier. Of a group of equal or nearly equal texts the smallest identifier's rows stay.
+    An empty table gives an empty one.
+    """
     lost = near_dedup(df, id_col, text_col, words, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_lost")).distinct()
     return carried(df, _id=F.col(id_col)).join(lost, F.col("_id").eqNullSafe(F.col("_lost")), "left_anti").select("_row.*")
