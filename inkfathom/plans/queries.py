@@ -55,6 +55,10 @@ def sql_words(t: str) -> str:
     return f"list_filter(string_split_regex(regexp_replace(lower({t}), '[^a-z0-9''{tx.WS}-]', ' ', 'g'), '[{tx.WS}]+'), lambda x: x <> '')"
 
 
+def sql_word_count(t: str) -> str:
+    return f"len(list_filter(string_split_regex({sql_trim(t)}, '[{tx.WS}]+'), lambda x: x <> ''))::BIGINT"
+
+
 def sql_sentences(t: str) -> str:
     cut = f"string_split(regexp_replace({t}, '([.!?])[{tx.WS}]+', '\\1' || chr(1), 'g'), chr(1))"
     return f"list_filter(list_transform({cut}, lambda x: {sql_trim('x')}), lambda x: x <> '')"
@@ -503,7 +507,6 @@ a7 AS (SELECT *, {sql_kept('t3')} AS kept3 FROM a6), a8 AS (SELECT *, CASE WHEN
 _FULL = _sql_full()
 _LOOK = lambda t: f"WITH {D} SELECT doc_id, {t} AS rewritten FROM d"
 N = lx.NOTE
-_COUNTED = f"len(list_filter(string_split_regex({sql_trim('{t}')}, '[{tx.WS}]+'), lambda x: x <> ''))::BIGINT"
 ORACLE_SQL: dict[str, str] = {
     "profile_by_source": f"{_P} SELECT source, {_SCALARS}, {', '.join(f'{sql_list(c)} AS {c}' for c in _LISTS)}, sample_word_count, sample_count, summary FROM y",
     "tokens": f"WITH w AS (SELECT doc_id, {_W} AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct, md5({sql_list('w')}) AS tokens_md5 FROM w",
@@ -530,8 +533,8 @@ SELECT doc_id, CASE WHEN kind = 'file' AND asked IN ('', 'Untitled sample') THEN
     "capacity": "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) + max(doc_id) OVER (PARTITION BY source) % 50 > 40 AS over FROM documents",
     "list_samples": "SELECT doc_id AS id, source, strftime(TIMESTAMP '1970-01-01' + to_seconds(1700000000 + (doc_id // 3) * 86400), '%b %-d, %Y') AS shown_date FROM documents ORDER BY 1 DESC",
     "latest_profile": "SELECT source, 'v' || max(doc_id) AS name FROM documents GROUP BY source",
-    "truncation": f"WITH r AS (SELECT doc_id, left({sql_trim("repeat(coalesce(text, '') || ' ', 30)")}, {lx.MAX_CHARS}) AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS content_md5, {_COUNTED.format(t='t')} AS word_count FROM r",
-    "store_insert": f"WITH {_ACCEPTED} SELECT source AS author, id, 'T' || doc_id AS title, md5(text) AS content_md5, {_COUNTED.format(t='text')} AS word_count, 'paste' AS source FROM d",
+    "truncation": f"WITH r AS (SELECT doc_id, left({sql_trim("repeat(coalesce(text, '') || ' ', 30)")}, {lx.MAX_CHARS}) AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS content_md5, {sql_word_count('t')} AS word_count FROM r",
+    "store_insert": f"WITH {_ACCEPTED} SELECT source AS author, id, 'T' || doc_id AS title, md5(text) AS content_md5, {sql_word_count('text')} AS word_count, 'paste' AS source FROM d",
     "store_profiles": f"WITH {_sql_profile(_ACCEPTED)} SELECT source AS author, 'My writing style' AS name, avg_sentence_length, vocabulary_richness, {sql_list('signature_phrases')} AS signature_phrases, {sql_list('preferred_openers')} AS preferred_openers, sample_word_count, sample_count, summary FROM y",
     "store_delete": f"WITH {_ACCEPTED}, gone AS (SELECT max(id) AS id FROM d GROUP BY source ORDER BY source LIMIT 2) SELECT source AS author, max(id) AS newest, sum(len({sql_words('text')}))::BIGINT AS sample_word_count, count(*) AS sample_count FROM d WHERE id NOT IN (SELECT id FROM gone) GROUP BY source",
     "empty_profile": f"SELECT DISTINCT source AS author, 'My writing style' AS name, 16.0::DOUBLE AS avg_sentence_length, 0.02::DOUBLE AS contraction_rate, 0.5::DOUBLE AS formality_score, 'Upload writing samples so the engine can learn your voice' AS tone_notes, 0::BIGINT AS n_phrases, 0::BIGINT AS sample_count, 'No samples uploaded yet.' AS summary FROM documents",
