@@ -58,11 +58,11 @@ def file_system(spark: SparkSession, path: str):
 
 @atexit.register
 def _remove() -> None:
-    for spark, path in _made:
+    for spark, folder in {path.rpartition("/")[0]: (spark, path.rpartition("/")[0]) for spark, path in _made}.values():
         try:
-            fs, p = file_system(spark, path)
+            fs, p = file_system(spark, folder)
             fs.delete(p, True)
-        except Exception:  # the session has ended: the folder goes with the cluster's scratch space
+        except Exception:  # the session has ended: the folder goes with the cluster's scratch space, or by sweep
             return
 
 
