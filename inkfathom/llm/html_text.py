@@ -60,15 +60,15 @@ _NAME = re.compile(r"[a-z]+")
 Block = tuple[str, bool]
 
 
-def _named(attributes: str, inside: bool, tag: str = "div") -> tuple[bool, bool, bool]:
-    """(hidden, boilerplate by its names, main by its role)"""
+def _named(attributes: str, inside: bool, tag: str = "div") -> tuple[bool, bool, bool, bool]:
+    """(hidden, boilerplate by its names, main by its role, named by a part of a word only)"""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False, False, False
-    named = main = False
+        return False, False, False, False
+    named = main = whole = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True, False, False
+            return True, False, False, False
         if name not in ("class", "id", "role"):
             continue
         main = main or name == "role" and value == "main"
@@ -78,32 +78,43 @@ def _named(attributes: str, inside: bool, tag: str = "div") -> tuple[bool, bool,
         elif not inside:
             words = _NAME.findall(" ".join(tokens))
             named = named or not NAMED.isdisjoint(words) or not NAMED_PAIRS.isdisjoint(tokens) or not NAMED_OUTSIDE.isdisjoint(words)
+            whole = whole or any(x in NAMED or x in NAMED_PAIRS or x in NAMED_OUTSIDE for x in tokens)
         elif name == "role":
             named = named or not NAMED.isdisjoint(tokens)
         elif tag in NAMED_INSIDE and name == "class":
             named = named or any(x in NAMED or x in NAMED_PAIRS or x.partition("-")[0] in NAMED and x.rpartition("-")[2] in HOLDERS for x in tokens)
         elif tag in NAMED_INSIDE and tag != "section":
             named = named or not READERS.isdisjoint(_NAME.findall(" ".join(tokens)))
-    return False, named, main
+    return False, named, main, named and not whole
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks outside markup that names boilerplate, in order, each with whether an article or main element holds it.
 
     A name does not drop an element around the page's article or main element: one that holds more words than all that
-    is left without it."""
-    out, holders = _blocks(page, frozenset())
-    if holders and not any(m for _, m in out):
-        more, _ = _blocks(page, frozenset(holders))
-        if sum(len(s.split()) for s, m in more if m) > sum(len(s.split()) for s, _ in out):
+    is left without it. Where there is no such element, part of a word (sidebar-layout) drops none that holds most words."""
+    out, holders, parts = _blocks(page, frozenset())
+    count = lambda found: sum(len(s.split()) for s, _ in found)
+    if any(m for _, m in out):
+        return out
+    if holders:
+        more = _blocks(page, frozenset(holders))[0]
+        if count(x for x in more if x[1]) > count(out):
             return more
+    elif parts:
+        most = max(parts, key=parts.get)
+        if 2 * parts[most] > count(out) + sum(parts.values()):
+            return _blocks(page, frozenset([most]))[0]
     return out
 
 
-def _blocks(page: str, exempt: frozenset[int]) -> tuple[list[Block], set[int]]:
-    """(blocks, where the elements start that only their names drop and that hold an article or main element). exempt:
-    starts of elements that no name drops."""
+def _blocks(page: str, exempt: frozenset[int]) -> tuple[list[Block], set[int], Counter[int]]:
+    """(blocks, where the elements start that only their names drop and that hold an article or main element, the words in
+    outermost elements that only a part of a word drops, by their starts). exempt: starts of elements that no name drops."""
     holders: set[int] = set()
+    parts: Counter[int] = Counter()
+    partial: set[int] = set()
+    owner = -1
     out: list[Block] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool, int]] = []  # element, dropped, main, start if its name may be overruled, -1 if only inherited, -2 if not
@@ -121,6 +132,8 @@ def _blocks(page: str, exempt: frozenset[int]) -> tuple[list[Block], set[int]]:
         m = _TAG.search(page, at)
         if not dropped:
             text.append(page[at : m.start() if m else n])
+        elif owner in partial:
+            parts[owner] += len(page[at : m.start() if m else n].split())
         if not m:
             break
         at = m.end()
@@ -154,19 +167,22 @@ def _blocks(page: str, exempt: frozenset[int]) -> tuple[list[Block], set[int]]:
                 while stack and stack[-1][1] and stack[-1][0] in ("nav", "header", "footer"):
                     stack.pop()
             was_dropped, was_main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            hidden, by_name, role = _named(attributes, was_main, tag)
+            hidden, by_name, role, by_part = _named(attributes, was_main, tag)
             by_tag = hidden and tag not in ("html", "body") or tag in DROPPED and not (tag == "header" and was_main)
             if tag in ("html", "body", "main") or m.start() in exempt:
                 by_name = False
             is_main = tag in ("article", "main") or role
             if not attributes.rstrip().endswith("/"):
                 readers = by_name and not READERS.isdisjoint(_NAME.findall(attributes.lower()))
+                if by_part and not readers:
+                    partial.add(m.start())
                 stack.append((tag, was_dropped or by_tag or by_name, was_main or is_main, -2 if by_tag or readers else m.start() if by_name else -1))
                 if is_main and stack[-1][1] and all(x[3] > -2 for x in stack):
                     holders.update(x[3] for x in stack if x[3] >= 0)
         dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        owner = next((x[3] for x in stack if x[3] >= 0), -1) if dropped and all(x[3] > -2 for x in stack) else -1
     close()
-    return out, holders
+    return out, holders, parts
 
 
 def repeated(tokens: np.ndarray, pages: np.ndarray, length: int, min_pages: int) -> np.ndarray:
