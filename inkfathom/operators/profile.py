@@ -69,7 +69,9 @@ def _samples(df: DataFrame, words: bool = True, sentences: bool = True, counts:
     t = t.withColumn("s", tx.sentences(text)) if sentences else t
     t = tx.settled(t)
     ends = text.rlike(rf"[.!?][{tx.WS}]*\z")
-    picked = ["author", "ord"]
+    oldest = F.lit("9223372036854775808").cast("decimal(20,0)")
+    start = F.coalesce(-F.col("ord").cast("decimal(20,0)"), oldest) * F.lit(_PLACES).cast("decimal(10,0)")
+    picked = ["author", "ord", start.alias("start")]
     if words:
         picked += ["w", F.size("w").alias("n_w")]
     if sentences:
@@ -101,7 +103,7 @@ def _edges(samples: DataFrame) -> DataFrame:
     if "pure" in samples.columns:
         picked += [F.col("taken_over"), F.col("pending"), (~F.col("pure")).cast("long").alias("set"), (F.col("pure") & (F.col("pending") == 1)).cast("long").alias("turn")]
         sums |= {"i_set": "set", "i_turn": "turn"}
-    e = samples.select("author", "ord", *picked)
+    e = samples.select("author", "ord", "start", *picked)
     return written(running(e, [F.asc_nulls_first("author"), F.desc_nulls_last("ord")], sums), "edges")
 
 
@@ -133,17 +135,15 @@ def _gram_rows(samples: DataFrame, e: DataFrame, kinds: tuple[int, ...]) -> Data
     """(author, n, gram, at) for the wanted kinds: n-grams and, as n = 0, sentence openers. at orders by sample, newest
     first, then by place; one number, so that sums and minima fit into a hash table's row."""
     none = F.array().cast("array<string>")
-    oldest = F.lit("9223372036854775808").cast("decimal(20,0)")
-    start = F.coalesce(-F.col("ord").cast("decimal(20,0)"), oldest) * F.lit(_PLACES).cast("decimal(10,0)")
 
     def rows(df: DataFrame, n: int, grams: Column) -> DataFrame:
         at = F.col("start") + F.col("pos").cast("decimal(10,0)")
-        return df.select("author", start.alias("start"), F.posexplode(grams).alias("pos", "gram")).select("author", F.lit(n).alias("n"), "gram", at.alias("at"))
+        return df.select("author", "start", F.posexplode(grams).alias("pos", "gram")).select("author", F.lit(n).alias("n"), "gram", at.alias("at"))
 
     def placed(df: DataFrame, n: int, grams: Column) -> DataFrame:
         """grams: array<struct<gram, pos>>"""
         at = F.col("start") + F.col("g.pos").cast("decimal(10,0)")
-        return df.select("author", start.alias("start"), F.explode(grams).alias("g")).select("author", F.lit(n).alias("n"), "g.gram", at.alias("at"))
+        return df.select("author", "start", F.explode(grams).alias("g")).select("author", F.lit(n).alias("n"), "g.gram", at.alias("at"))
 
     found = []
     for n in (n for n in kinds if n):
