@@ -105,7 +105,7 @@ def unique_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     runs = digests(df, id_col, text_col)
     keep = tree_merge(runs, id_col)
-    lost = runs.join(keep, _KEY).filter(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("_lost"), *[F.col(c).alias(f"_lost{c}") for c in _KEY]).distinct()
+    lost = runs.join(keep, _KEY).filter(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("_lost"), *[F.col(c).alias(f"_lost{c}") for c in _KEY])
     counts = runs.groupBy(id_col).count().agg(F.max("count"), F.max(F.col(id_col).isNull())).first()
     if (counts[0] or 0) <= 1 and not counts[1]:
         return carried(df, _id=F.col(id_col)).join(lost, F.col("_id").eqNullSafe(F.col("_lost")), "left_anti").select("_row.*")

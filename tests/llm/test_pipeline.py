@@ -58,3 +58,17 @@ def test_stages(spark, tmp_path):
             assert np.isin(after.doc_id.unique(), before.doc_id).all() and after.doc_id.nunique() == before.doc_id.nunique()
         before = after
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_empty_and_repeated_rows(spark, tmp_path):
+    """No rows give no rows; rows repeated with one or no identifier go through every stage."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i % 5 if i % 7 else None, f"text number {i % 9} of the many words that this document has {i % 9}", "en", None if i % 4 else "s", 1) for i in range(120)]
+    for number, table in enumerate((spark.createDataFrame([], schema), spark.createDataFrame(rows, schema))):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, SF).write.parquet(f"file://{tmp_path}/{number}{name}")
+            docs = spark.read.parquet(f"file://{tmp_path}/{number}{name}")
+            if name == "exact_dedup":
+                assert sorted({r.text for r in docs.collect()}) == sorted({r[1] for r in rows} if number else [])
+        assert (docs.count() > 0) == bool(number)
