@@ -40,6 +40,22 @@ def test_awkward_rows_and_empty_tables(spark):
         assert run(docs(spark, [])).count() == 0
 
 
+def test_texts_of_millions_of_characters(spark):
+    """Two nearly equal texts of 2 MB, and one whose end alone tells it apart: whole texts decide everywhere."""
+    rnd = random.Random(13)
+    body = " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(330_000))
+    rows = [(1, body), (2, body + " more"), (3, body.replace(" ", "  ")), (4, "x " * 10)]
+    table = docs(spark, rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(table).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(table).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    assert {r.doc_id: r.size for r in mixing.mix(table).collect()} == {1: 330_000, 2: 330_001, 3: 330_000, 4: 10}
+    assert {r.doc_id for r in language.identify(table).collect()} == {1, 2, 3, 4}
+    late = docs(spark, [(1, body + " 4111 1111 1111 1111")])
+    assert pseudonyms.pseudonyms(late, "k").first().n_card == 1
+    pieces = packing.pack(table, queries.tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert len(pieces) == 4 and all(r.n == r["all"] for r in pieces)
+
+
 # --- exact duplicates ---
 def test_exact_dedup(spark):
     got = exact_dedup.exact_dedup(docs(spark, AWKWARD), fan_in=2).collect()
@@ -52,6 +68,24 @@ def test_exact_dedup(spark):
     assert sorted(norm(r.text) for r in kept) == sorted({norm(t) for _, t in AWKWARD})
 
 
+@pytest.mark.parametrize("partitions, fan_in, rounds", [(8, 4, 2), (32, 4, 3), (8, 2, 3), (5, 4, 2), (1, 4, 0)])
+def test_digest_runs_merge_in_rounds(spark, monkeypatch, partitions, fan_in, rounds):
+    """Every round exchanges among fan_in partitions; runs are sorted and hold a digest once; the last ones are in order."""
+    rnd = random.Random(partitions)
+    rows = [(rnd.randint(0, 500), "hot" if i % 3 == 0 else f"t{rnd.randint(0, 120)}") for i in range(600)]
+    levels = []
+    merged = exact_dedup.merged_runs
+    monkeypatch.setattr(exact_dedup, "merged_runs", lambda pieces, n: levels.append(n) or merged(pieces, n))
+    runs = exact_dedup.digests(docs(spark, rows).repartition(partitions))
+    runs = runs.withColumn("_run", F.pmod(F.xxhash64("doc_id", "_alt"), F.lit(partitions)).cast("int"))
+    got = exact_dedup.tree_merge(runs, "doc_id", fan_in).withColumn("p", F.spark_partition_id()).collect()
+    assert len(levels) == 1 + rounds and set(levels[1:]) <= {fan_in**rounds}
+    want = {}
+    for i, t in rows:
+        want.setdefault(hashlib.sha256(t.encode()).digest(), []).append(i)
+    assert {bytes(r._sha): (r.keep_id, r.group_size) for r in got} == {k: (min(v), len(v)) for k, v in want.items()} and len(got) == len(want)
+
+
 def test_unique_documents_with_null_and_repeated_ids(spark):
     rows = [(1, "copied"), (None, "copied"), (None, "alone"), (None, "alone too"), (2, "copied"), (2, "kept"), (3, "kept"), (3, "kept"), (4, "own")]
     got = exact_dedup.unique_documents(docs(spark, rows)).collect()
@@ -115,6 +149,19 @@ def test_mixed_rows_with_repeated_ids(spark):
         assert all(abs(got[s] - want[s]) <= 1 for s in want), (got, want)
 
 
+def test_alike_rows_are_dealt_out(spark, monkeypatch):
+    """A third of all rows alike in identifier, source and size: numbered in bounded parts, and spread over the blocks."""
+    monkeypatch.setattr(mixing, "ALIKE_ROWS", 64)
+    sized = spark.createDataFrame([(7, "a", 3)] * 1000 + [(None, "a", 4)] * 500 + [(i, "a", 3) for i in range(100, 700)], "id bigint, source string, size bigint")
+    told = mixing.told_apart(sized).collect()
+    assert len(told) == 2100 == len(set(told)) and {r.no for r in told if r.id == 7} == set(range(1000))
+    df = spark.createDataFrame([(r.id, "w " * r.size, "a" if i % 3 else "b") for i, r in enumerate(told)], "doc_id bigint, text string, source string")
+    got = mixing.mix(df).collect()
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1
+
+
 def test_mixing_is_unbiased(spark):
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), "a" if i % 3 else "b") for i in range(120)], "doc_id bigint, text string, source string")
     share = np.zeros(120)
@@ -152,6 +199,30 @@ def test_packing_round_trip(spark):
     assert got.groupby("step_group").length.sum().max() <= packing.STEP_IDS
 
 
+def test_tokenizer_files_that_need_more_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"added_tokens": [dict(spec["added_tokens"][0], lstrip=True)]}, {"model": dict(spec["model"], merges=spec["model"]["merges"][::-1])}):
+        with pytest.raises(ValueError):
+            packing._checked(spec | change)
+    packing._checked(spec)
+
+
+def test_long_documents_are_packed_as_they_come(monkeypatch):
+    """A document of many parts gives its windows before it ends, and says its whole number of ids in each."""
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["the cat sat on a mat " * 300_000, "x"])], names=["id", "text"])
+    out = packing._packed(queries.tokenizer_path(), packing.TIERS, packing.STEP_IDS, 1, False, pa.int64())(iter([batch]))
+    first = next(out)
+    assert first.num_rows < 1_000
+    rows = [first.to_pylist(), *(b.to_pylist() for b in out)]
+    long = sorted((r["start"], r["length"], r["doc_tokens"]) for part in rows for r in part if r["id"] == 1)
+    assert sum(n for _, n, _ in long) == long[0][2] and all(a + n == b for (a, n, _), (b, _, _) in zip(long, long[1:])) and len({t for _, _, t in long}) == 1
+
+
 # --- WARC ---
 def test_warc(spark, tmp_path):
     big, trap = "<p>" + "x" * 200, "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + "y" * 150
@@ -177,12 +248,30 @@ def test_payloads_that_look_like_record_ends(spark):
     assert got == {i: (len(p.encode()), hashlib.sha256(p.encode()).hexdigest()) for i, p in enumerate(payloads)}
 
 
+def test_warc_with_clashing_columns_and_a_long_page(spark):
+    rows = [(1, "http://a.b/1", "<p>" + "wörd " * 400_000, "x", "y", "z", 4), (2, "http://a.b/2", None, "x", "y", "z", 4)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, payload string, _digest string, record_type string, _first bigint")
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.archived_captures(pages).collect()}
+    assert got == {1: (len(rows[0][2].encode()), "response"), 2: (0, "response")}
+
+
+def test_index_is_merged_from_runs(spark, monkeypatch):
+    """Many ranges and runs, a page that a third of all rows repeat: the partitions follow each other in order."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    rnd = random.Random(12)
+    rows = [(7 if i % 3 == 0 else rnd.randint(0, 300), f"http://h{rnd.randint(0, 5)}.org/" if i % 3 else "http://hot.org/", f"p{rnd.randint(0, 3)}") for i in range(900)]
+    got = warc.archived_captures(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(6)).withColumn("p", F.spark_partition_id())
+    assert got.rdd.getNumPartitions() > 10
+    found = sorted(((r.p, i, (r.url_key, r.ts, r.page_id)) for i, r in enumerate(got.collect())))
+    order = [x[2] for x in found]
+    assert order == sorted(order) and sorted(x[2] for x in order) == sorted(r[0] for r in rows) and len({p for p, _, k in found if k[2] == 7}) > 2
+
+
 def test_loser_tree():
     rnd = random.Random(2)
     for k in (0, 1, 2, 3, 7, 16):
         runs = [sorted(rnd.randint(0, 50) for _ in range(rnd.randint(0, 40))) for _ in range(k)]
         assert list(losertree.LoserTree(runs, lambda x: x)) == sorted(itertools.chain(*runs))
-        assert list(losertree.external_merge(runs, lambda x: x, rows_in_memory=15)) == sorted(itertools.chain(*runs))
 
 
 # --- main text ---
@@ -265,6 +354,43 @@ def test_text_beside_an_article(spark):
         assert got == {i: f"{story(i)}\n\nteaser {i}" for i in range(30)}
 
 
+LAYOUTS = [  # (page, its text): what class words and wrappers must not do
+    ("<div class='layout has-sidebar'><article><p>story</p></article></div>", "story"),
+    ("<div id='newsletter-archive-42'><main><p>story</p></main></div>", "story"),
+    ("<article class='post comments-open'><p>story</p></article>", "story"),
+    ("<article><p>a</p><section class='related-work'><p>b</p></section></article>", "a\n\nb"),
+    ("<main><div class='widget-container'><article><h1>t</h1><p>story</p></article></div><aside>x</aside></main>", "t\n\nstory"),
+    ("<body class='no-sidebar'><div role='main'><p>story</p></div><div role='complementary'>x</div></body>", "story"),
+    ("<header><nav>x</nav></header><article><header><h1>t</h1></header><p>story</p><footer>x</footer></article>", "t\n\nstory"),
+    ("<article><p>a</p><div class='advert'>x</div><div class='comments'><p>reader</p></div><p>b</p></article>", "a\n\nb"),
+    ("<div class='cookie-consent'>x</div><article><pre>a  b</pre><blockquote>c</blockquote></article>", "a b\n\nc"),
+    ("<article><p>one<p>two<ul><li>x<li>y</ul><form>f</form><button>go</button></article><script>s</script>", "one\n\ntwo\n\nx\n\ny"),
+    ("<article><table><tr><td>1</td><td>2</td></tr></table><noscript>n</noscript><p>&lt;b&gt; &#233;&nbsp;&euro;</p></article>", "1 2\n\n<b> é €"),
+    ("<div class='header-image'><nav>x</nav></div><section class='content'><p>plain page</p></section>", "plain page"),
+    ("<div class='sidebar-layout'><p>the text of this page</p><div class='menu'>x y</div></div><div>home</div>", "the text of this page\n\nhome"),
+    ("<div class='sidebar'><p>many more words than the post has</p></div><p>the post</p>", "the post"),
+]
+
+
+@pytest.mark.parametrize("page, text", LAYOUTS)
+def test_layouts(page, text):
+    assert html_text.main_texts([html_text.blocks(page)]) == [text]
+
+
+def test_extraction_of_repeated_rows_and_boilerplate_only(spark):
+    """Copies of a page are no repetition; a page of what other pages repeat has no text; hot rows and clashing columns."""
+    foot = "All rights belong to the people who made this place and who keep it alive every day of the year"
+    story = "this page is copied many times and has no article element but it is a story of its own all the same"
+    rows = [(i, "http://h.org/c", f"<div>{story}</div><div>{foot}</div>") for i in [5] * 60 + [6, 6]]
+    rows += [(10 + i, f"http://h.org/{i}", f"<p>own words {i}</p><p>{foot}</p>") for i in range(6)] + [(90, "http://h.org/n", f"<div>{foot}</div>"), (91, "http://other.org/", f"<div>{foot}</div>"), (92, "http://a.org/", "<article>" + "long " * 200_000 + "</article>")]
+    pages = spark.createDataFrame([(*r, "h", 1, "t") for r in rows], "page_id bigint, url string, html string, host string, number int, text string")
+    for group_chars in (500, 10_000_000):
+        got = [(r.page_id, r.text) for r in html_text.extract(pages, group_chars=group_chars).collect()]
+        want = [(i, story) for i in [5] * 60 + [6, 6]] + [(10 + i, f"own words {i}") for i in range(6)] + [(90, ""), (91, foot), (92, ("long " * 200_000).strip())]
+        assert sorted(got) == sorted(want)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 # --- near duplicates ---
 def brute_components(nodes, linked):
     up = {i: i for i in nodes}
@@ -281,7 +407,10 @@ def brute_components(nodes, linked):
     return {i: find(i) for i in nodes}
 
 
-def test_near_dedup(spark):
+@pytest.mark.parametrize("pivot_work, block", [(near_dedup.PIVOT_WORK, near_dedup.BLOCK), (0, 7)])
+def test_near_dedup(spark, monkeypatch, pivot_work, block):
+    monkeypatch.setattr(near_dedup, "PIVOT_WORK", pivot_work)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rnd = random.Random(5)
     base = [[f"w{rnd.randint(0, 5000)}" for _ in range(rnd.choice([3, 20, 120]))] for _ in range(25)]
     texts = {}
@@ -299,6 +428,19 @@ def test_near_dedup(spark):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_links_at_the_threshold(spark):
+    """Pairs at exactly 0.8, with equal smallest members in their buckets, and just below; repeated rows and a hot class."""
+    rows, want = [], {}
+    for g in range(12):
+        shared = [f"g{g}w{j}" for j in range(43)]  # 40 shingles of 4 words
+        rows += [(10 * g, " ".join(shared)), (10 * g + 1, " ".join([*shared, *(f"x{g}{j}" for j in range(10))])), (10 * g + 2, " ".join([*shared, *(f"y{g}{j}" for j in range(11))]))]
+        want |= {10 * g: 10 * g, 10 * g + 1: 10 * g, 10 * g + 2: 10 * g + 2}
+    rows += [(900, "hot copy of all")] * 50 + [(901 + i, "hot copy of all") for i in range(40)]
+    want |= {900 + i: 900 for i in range(41)}
+    got = near_dedup.near_dedup(docs(spark, rows), words=4).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+
+
 def test_odd_sketches_keep_links():
     rng = np.random.default_rng(6)
     for n in (5, 40, 300, 3000, 20_000):
@@ -340,6 +482,24 @@ def test_near_vectors(spark):
     assert {i: r.n_links for i, r in got.items()} == {i: sum(j != i and bool(link(i, j)) for j in ids) for i in ids}
 
 
+def test_isolated_vectors_find_each_other(spark):
+    """Recall of pairs at a cosine of 0.98 among unrelated vectors, by the filters alone: every pair stands alone."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9802 * x + np.sqrt(1 - 0.9802**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    rows += [(1, [5.0] * 48, 1)] * 30  # an identifier that many rows repeat, with another vector
+    got = {}
+    for r in caps.near_vectors(spark.createDataFrame([(*r, "k", 2.0) for r in rows], "vec_id bigint, embedding array<double>, label int, k string, vector double")).collect():
+        got.setdefault(r.vec_id, set()).add(r.component_id)
+    found = sum(i in got[i + 1500] for i in range(1500) if i != 1)
+    assert found >= 0.99 * 1499, found
+    assert caps.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
+
+
 # --- secrets ---
 def test_secrets(spark):
     key, weak = "AKIA" + "Z9" * 9, "Q" * 39 + "+"
@@ -369,6 +529,17 @@ def test_secret_after_its_name(spark):
         assert f"secret:{t.index(weak)}:{t.index(weak) + 40}" in r.spans.split(",")
 
 
+def test_very_many_matches_in_one_text(spark):
+    """A text of 10 MB with 230,000 matches, every fourth an access identifier: in time that grows with the matches."""
+    key = "AKIA" + "Z9" * 9
+    unit = f"{key} {'0123456789abcdef' * 2} {'Q' * 39}+ https://s3.example.com/x é\n"
+    n = 10_000_000 // len(unit)
+    got = secrets.secret_spans(docs(spark, [(1, unit * n)])).first()
+    assert (got.n_access, got.n_hex, got.n_secret, got.n_endpoint) == (n, n, n, n)
+    last = (n - 1) * len(unit)
+    assert got.spans.endswith(f"endpoint:{last + unit.index('https')}:{last + len(unit) - 3}")
+
+
 # --- language ---
 def test_language(spark):
     docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -382,7 +553,70 @@ def test_language(spark):
     assert not any(map(language.has_letter, ["", "½ ² 12", "٣ _ -", "😀"])) and all(map(language.has_letter, ["½a", "ß", "語", "ª"]))
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, f"{'abcdefghij'[i % 10] * 4} " * 20, f"l{i % 10}") for i in range(300)] + [(-1, "kkkk " * 20, "rare")] * 4
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    df = df.withColumn("doc_id", F.when(F.col("lang") == "rare", 4).otherwise(F.col("doc_id")))
+    model = language.train(df, rows=40)
+    assert set(itertools.chain(*model.languages.values())) == {*(f"l{i}" for i in range(10)), "rare"}
+    with pytest.raises(ValueError):
+        language.train(df, rows=5)
+
+
 # --- pseudonyms ---
+SPELLINGS = [
+    ["+351 212 345 678", "+351212345678", "+351-212-345-678"],
+    ["+1 212 555 3292", "+12125553292", "212-555-3292", "(212) 555-3292", "+1 (212) 555-3292"],
+    ["+44 20 7946 0958", "+442079460958"],
+    ["2021-02-28", "28.02.2021", "28/02/2021", "02/28/2021", "28.2.2021"],
+    ["2021-02-03", "03.02.2021", "03/02/2021", "3/2/2021"],
+    ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"],
+    ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"],
+    ["Ann.Lee@Mail3.example.com", "ann.lee@mail3.example.com"],
+]
+
+
+@pytest.mark.parametrize("values", SPELLINGS)
+def test_one_value_in_several_spellings(values):
+    f = pseudonyms.Feistel(b"k")
+
+    def canonical(v):
+        if "@" in v:
+            return v.lower()
+        if m := re.fullmatch(r"(\d{4}|\d{1,2})([./-])(\d+)[./-](\d+)", v):
+            a, sep, b, c = int(m[1]), m[2], int(m[3]), int(m[4])
+            return (a, b, c) if sep == "-" else (c, a, b) if sep == "/" and b > 12 else (c, b, a)
+        return re.sub(r"[^0-9A-Z]", "", v)[-10 if values[0].startswith("+1 ") else 0 :]
+
+    new = [pseudonyms.pseudonymise(f, v)[0] for v in values]
+    assert len({canonical(v) for v in values}) == 1 == len({canonical(v) for v in new}) and not set(values) & set(new)
+    assert [re.sub(r"\w+", "", v) for v in new] == [re.sub(r"\w+", "", v) for v in values]
+    back = [pseudonyms.pseudonymise(f, v, back=True)[0] for v in new]
+    assert {canonical(v) for v in back} == {canonical(v) for v in values}
+
+
+def test_distinct_values_stay_distinct():
+    f, rnd = pseudonyms.Feistel(b"k"), random.Random(11)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    cards = (p + pseudonyms.luhn_digit(p) for p in (digits(15) for _ in range(2000)))
+    ibans = (f"GB{98 - pseudonyms._iban_number('GB', '00', b) % 97:02d}{b}" for b in (f"WEST{digits(14)}" for _ in range(1000)))
+    days = ((pseudonyms.datetime.date(1950, 1, 1) + pseudonyms.datetime.timedelta(i)).isoformat() for i in range(4000))
+    kinds = [cards, ibans, days, (f"+351{digits(4)}" + "00000" for _ in range(2000)), (f"212-555-{i:04d}" for i in range(2000)), (f"012-345-{i:04d}" for i in range(2000)), (f"219-09-{i:04d}" for i in range(1, 2000)), (f"45.{i // 200}.7.{i % 200}" for i in range(2000)), (f"u{i}@a.example.com" for i in range(2000))]
+    everything = [sorted(set(k)) for k in kinds]
+    for values in everything:
+        new = [pseudonyms.pseudonymise(f, v)[0] for v in values]
+        assert len(set(new)) == len(values) and sum(a != b for a, b in zip(values, new)) > 0.99 * len(values)
+    assert pseudonyms.iban(f, "GB99WEST12345698765432") is None  # 82 would be 99 - 17: not canonical
+
+
+def test_key_of_a_session(spark):
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonyms(docs(spark, []), "")
+    spark.conf.unset("inkfathom.pseudonym.key")
+    one = queries.op8_pseudonyms(spark, SF).select("text").collect()
+    assert len(spark.conf.get("inkfathom.pseudonym.key")) == 64 and one == queries.op8_pseudonyms(spark, SF).select("text").collect()
+
+
 def test_pseudonyms(spark):
     f = pseudonyms.Feistel(b"k")
     text = "call +1 (666) 555-3292 or 4727926364394221 at a.b@mail3.example.com from 45.114.23.72 on 2021-02-28, 31/12/1999 12.05.1980 GB82 WEST 1234 5698 7654 32 ssn 219-09-9999"
