@@ -1,4 +1,7 @@
+import os
 import random
+import time
+from types import SimpleNamespace
 
 import pytest
 from oracle import against_sql
@@ -8,7 +11,7 @@ from inkfathom.functions import lexicon as lx
 from inkfathom.functions import text as tx
 from inkfathom.operators import profile, rewrite
 from inkfathom.plans import queries
-from inkfathom.sources import store
+from inkfathom.sources import shared, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -154,6 +157,24 @@ def test_repeated_submission_ids(spark, tmp_path):
     assert sorted(r.id for r in s.samples().collect()) == list(range(1, 9))
 
 
+def test_scratch_tables(spark, tmp_path, monkeypatch):
+    """Tables go when asked to, folders of dead applications by their age; a cluster without a shared folder is an error."""
+    monkeypatch.setattr(shared, "shared_root", lambda spark: f"file://{tmp_path}")
+    t = shared.written(spark.range(5), "t")
+    folder = next((tmp_path / "inkfathom").iterdir())
+    assert t.count() == 5 and len(list(folder.iterdir())) == 1
+    shared.dropped(t)
+    assert not list(folder.iterdir())
+    for name, age in (("app-old", 3), ("app-new", 0)):
+        (tmp_path / "inkfathom" / name / "x").mkdir(parents=True)
+        os.utime(tmp_path / "inkfathom" / name, (time.time() - age * 86_400,) * 2)
+    assert shared.sweep(spark) == 1 and {p.name for p in (tmp_path / "inkfathom").iterdir()} == {folder.name, "app-new"}
+    monkeypatch.undo()
+    none = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(ValueError):
+        shared.shared_root(SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: none)))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
