@@ -315,7 +315,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     sets = found.filter("n > 0 AND id IS NOT NULL")
     classes = written(sets.groupBy("set").agg(F.min("id").alias("rep")), "classes")
     reps = written(sets.join(classes.select(F.col("rep").alias("id"), "set"), ["id", "set"], "left_semi").dropDuplicates(["id", "set"]).drop("set"), "reps")
-    links = near_links(docs, reps, "id", "text", words, percent)
+    # a row that is repeated very often must not meet each of its pairs as often
+    once = docs if sets.groupBy("id").count().filter("count > 1").isEmpty() else docs.distinct()
+    links = near_links(once, reps, "id", "text", words, percent)
     same_id = sets.join(classes, "set").filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     repeated = sets.groupBy("id").agg(F.count_distinct("set").alias("sets")).filter("sets > 1").select("id")
     # copies belong to their class; only an identifier with several texts ties classes together, and then its copies' edges count

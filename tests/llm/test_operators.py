@@ -435,6 +435,7 @@ def test_links_at_the_threshold(spark):
         shared = [f"g{g}w{j}" for j in range(43)]  # 40 shingles of 4 words
         rows += [(10 * g, " ".join(shared)), (10 * g + 1, " ".join([*shared, *(f"x{g}{j}" for j in range(10))])), (10 * g + 2, " ".join([*shared, *(f"y{g}{j}" for j in range(11))]))]
         want |= {10 * g: 10 * g, 10 * g + 1: 10 * g, 10 * g + 2: 10 * g + 2}
+    rows += [rows[0]] * 30 + [rows[4]] * 30  # repeated rows that have links
     rows += [(900, "hot copy of all")] * 50 + [(901 + i, "hot copy of all") for i in range(40)]
     want |= {900 + i: 900 for i in range(41)}
     got = near_dedup.near_dedup(docs(spark, rows), words=4).collect()
