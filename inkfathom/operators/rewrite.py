@@ -6,8 +6,6 @@ is evaluated once where several later expressions read it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +13,36 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 
 
+#: A rule as it is run: what its matches begin with (lower case), its pattern without and with the border before, and what
+#: is put in their place.
+Rule = tuple[str, str, str, str]
+
+
+def _rule(term: str, by: str) -> Rule:
+    """A term that starts with I keeps its case where it is the pronoun."""
+    return tx.literal_start(term), term + tx.ending(term), tx.bounded(term, case=term.startswith(("I'", "I "))), by
+
+
+def _in_order(c: Column, rules: list[Rule]) -> Column:
+    """The rules in order, each on the last one's result.
+
+    A text that no rule matches is left after one search for all of them. Else a rule's pattern is only run on a text that
+    has, in lower case, what its matches begin with. The state is the text with its lower-case form.
+    """
+    both = lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"))
+    table = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p).alias("find"), F.lit(b).alias("put")) for k, _, p, b in rules])
+    step = lambda s, r: F.when(F.contains(s["low"], r["key"]), tx.let(F.regexp_replace(s["t"], r["find"], r["put"]), both)).otherwise(s)
+    ruled = lambda t: F.aggregate(table, both(t), step, lambda s: s["t"])
+    return tx.let(c, lambda t: F.when(t.rlike(tx.within([p for _, p, _, _ in rules])), ruled(t)).otherwise(t))
+
+
 def replaced(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """The rules in order, each on the last one's result. A term that starts with I keeps its case where it is the pronoun."""
-    pronoun = lambda a: a.startswith(("I'", "I "))
-    return reduce(lambda t, r: F.regexp_replace(t, tx.bounded(r[0], case=pronoun(r[0])), r[1]), rules, c)
+    return _in_order(c, [_rule(*r) for r in rules])
 
 
 def closed_up(c: Column) -> Column:
     """Runs of two or more white space become a space; none stays before punctuation."""
-    return F.regexp_replace(F.regexp_replace(c, rf"[{tx.WS}]{{2,}}", " "), rf"[{tx.WS}]+([,.!?;:])", "$1")
+    return F.regexp_replace(F.regexp_replace(c, rf"{tx.SPACE}{{2,}}", " "), rf"{tx.SPACE}+([,.!?;:])", "$1")
 
 
 def apply_rules(c: Column, rules: list[tuple[str, str]]) -> Column:
@@ -31,9 +50,8 @@ def apply_rules(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def without_filler(c: Column) -> Column:
-    for p in lx.FILLER_PREFIXES:
-        c = F.regexp_replace(c, rf"(?i)(?<![A-Za-z0-9_]){p}[{tx.WS}]*", "")
-    return apply_rules(c, lx.FILLER)
+    prefixes = [(tx.literal_start(p), p, rf"(?i){tx.starting(p)}{tx.SPACE}*", "") for p in lx.FILLER_PREFIXES]
+    return closed_up(_in_order(c, prefixes + [_rule(*r) for r in lx.FILLER]))
 
 
 def casual(c: Column) -> Column:
@@ -71,12 +89,14 @@ def n_words(c: Column) -> Column:
 
 def split_long(sentences: Column, target: Column) -> Column:
     """Sentences of more than target + 4 words, cut at conjunctions; pieces get an end mark and a capital."""
-    pattern = rf"(?i)[{tx.WS}]+(?:, and|and|, but|but|;)[{tx.WS}]+"
+    pattern = rf"(?i){tx.SPACE}+(?:, and|and|, but|but|;){tx.SPACE}+"
+
+    def ended(p: Column) -> Column:
+        return tx.let(tx.trim(p), lambda x: tx.capitalize(F.when(x.rlike(r"[.!?]\z"), x).otherwise(F.concat(x, F.lit(".")))))
 
     def cut(s: Column) -> Column:
-        pieces = F.split(s, pattern)
-        ended = F.transform(pieces, lambda p: tx.capitalize(F.when(tx.trim(p).rlike(r"[.!?]\z"), tx.trim(p)).otherwise(F.concat(tx.trim(p), F.lit(".")))))
-        return F.when((F.size(pieces) > 1) & (n_words(s) > target + 4), ended).otherwise(F.array(s))
+        # split compiles its pattern for each sentence, so those without a cut are told apart first
+        return F.when(s.rlike(pattern) & (n_words(s) > target + 4), F.transform(F.split(s, pattern), ended)).otherwise(F.array(s))
 
     return F.flatten(F.transform(sentences, cut))
 
@@ -84,38 +104,50 @@ def split_long(sentences: Column, target: Column) -> Column:
 def join_short(sentences: Column) -> Column:
     """Short neighbours joined in pairs, left to right: in each run of places that may join, every second one does.
 
-    One pass over the array; the state is the result so far and the sentence not yet placed.
+    Words are counted once a sentence. One pass over the array; the state is the result so far and the sentence not yet
+    placed.
     """
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
+    counted = F.transform(sentences, lambda x: F.struct(x.alias("t"), n_words(x).alias("n")))
+    nothing = F.lit(None).cast("struct<t: string, n: int>")
+    empty = F.struct(F.array().cast("array<string>").alias("out"), nothing.alias("held"))
 
     def step(s: Column, nxt: Column) -> Column:
         cur = s["held"]
-        fits = cur.isNotNull() & (n_words(cur) < 10) & (n_words(nxt) < 14) & ~cur.rlike(r"\?\z")
-        joined = F.concat(F.regexp_replace(cur, r"[.!]\z", ""), F.lit(", and "), tx.decapitalize(nxt))
-        return F.when(fits, F.struct(F.concat(s["out"], F.array(joined)).alias("out"), F.lit(None).cast("string").alias("held"))).otherwise(
-            F.struct(F.when(cur.isNotNull(), F.concat(s["out"], F.array(cur))).otherwise(s["out"]).alias("out"), nxt.alias("held"))
+        fits = cur.isNotNull() & (cur["n"] < 10) & (nxt["n"] < 14) & ~cur["t"].rlike(r"\?\z")
+        joined = F.concat(F.regexp_replace(cur["t"], r"[.!]\z", ""), F.lit(", and "), tx.decapitalize(nxt["t"]))
+        return F.when(fits, F.struct(F.concat(s["out"], F.array(joined)).alias("out"), nothing.alias("held"))).otherwise(
+            F.struct(F.when(cur.isNotNull(), F.concat(s["out"], F.array(cur["t"]))).otherwise(s["out"]).alias("out"), nxt.alias("held"))
         )
 
-    return F.aggregate(sentences, empty, step, lambda s: F.when(s["held"].isNotNull(), F.concat(s["out"], F.array(s["held"]))).otherwise(s["out"]))
+    return F.aggregate(counted, empty, step, lambda s: F.when(s["held"].isNotNull(), F.concat(s["out"], F.array(s["held"]["t"]))).otherwise(s["out"]))
 
 
 def rhythm(c: Column, target: Column) -> Column:
-    s = tx.sentences_kept(c)
-    mean = n_words(c) / F.greatest(F.size(s), F.lit(1))
-    return F.when(mean > target + 6, F.array_join(split_long(s, target), " ")).when((mean < target - 6) & (F.size(s) > 1), F.array_join(join_short(s), " ")).otherwise(c)
+    def tuned(s: Column) -> Column:
+        split, joined = F.array_join(split_long(s, target), " "), F.array_join(join_short(s), " ")
+        return tx.let(n_words(c) / F.greatest(F.size(s), F.lit(1)), lambda mean: F.when(mean > target + 6, split).when((mean < target - 6) & (F.size(s) > 1), joined).otherwise(c))
+
+    return tx.let(tx.sentences_kept(c), tuned)
 
 
 def woven(c: Column, transition: Column) -> Column:
     """The transition before the second of at least three sentences, unless the text has it already; else null."""
-    s = tx.sentences_kept(c)
-    new = F.transform(s, lambda x, i: F.when(i == 1, F.concat(tx.capitalize(transition), F.lit(", "), tx.decapitalize(x))).otherwise(x))
-    return F.when((F.size(s) >= 3) & (transition != "") & ~F.contains(F.lower(c), transition), F.array_join(new, " "))
+
+    def put(s: Column) -> Column:
+        new = F.transform(s, lambda x, i: F.when(i == 1, F.concat(tx.capitalize(transition), F.lit(", "), tx.decapitalize(x))).otherwise(x))
+        return F.when(F.size(s) >= 3, F.array_join(new, " "))
+
+    return F.when((transition != "") & ~F.contains(F.lower(c), transition), tx.let(tx.sentences_kept(c), put))
 
 
 def staged(df: DataFrame, name: str, c: Column) -> DataFrame:
     return tx.settled(df.withColumn(name, c))
 
 
+#: What rewriting reads of a profile.
+READ = ("avg_sentence_length", "contraction_rate", "formality_score", "common_transitions", "tone_notes", "sample_count")
+
+
 def rewrite(drafts: DataFrame, profiles: DataFrame, text_col: str = "text") -> DataFrame:
     """drafts (author, text and others) with `rewritten` and `notes`; profiles as profile.profiles gives them.
 
@@ -123,8 +155,7 @@ def rewrite(drafts: DataFrame, profiles: DataFrame, text_col: str = "text") -> D
     and one note. Profiles are joined by author; extra columns of drafts stay, but not those named like the results.
     """
     keep = [c for c in drafts.columns if c not in ("rewritten", "notes")]
-    wanted = ["avg_sentence_length", "contraction_rate", "formality_score", "common_transitions", "tone_notes", "sample_count"]
-    p = profiles.select(F.col("author").alias("_author"), *[F.col(c).alias(f"_p_{c}") for c in wanted])
+    p = profiles.select(F.col("author").alias("_author"), *[F.col(c).alias(f"_p_{c}") for c in READ])
     d = drafts.select(*keep).join(p, F.col("author").eqNullSafe(F.col("_author")), "left").drop("_author")
     known = F.coalesce(F.col("_p_sample_count"), F.lit(0)) > 0
     score, rate = F.col("_p_formality_score"), F.col("_p_contraction_rate")

@@ -175,6 +175,44 @@ def test_scratch_tables(spark, tmp_path, monkeypatch):
         shared.shared_root(SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: none)))
 
 
+def test_text_functions_as_plain_patterns(spark):
+    """Rules, counts and splitters give what their plain patterns give, on text of terms, odd white space and odd letters."""
+    r = random.Random(9)
+    lists = (lx.FORMAL_TO_CASUAL, lx.CASUAL_TO_FORMAL, lx.CONTRACTED, lx.EXPANSIONS, lx.FILLER)
+    bits = [a.split("(?:")[0].rstrip() for rules in lists for a, _ in rules] + ["In today's digital world,", "In summary", "navigate the landscape", "like,", "end", "so", "_", "9"]
+    glue = [" ", " ", "  ", "\n", "\n\n", ". ", ".\n", "!", "? ", ", ", "\u2028", "\u3000 ", "\u00a0", "-", "'", "\u0130", "\u212a", "\u00df", "\x00", "\x1f", "\U0001f600", ".\u2029", ", and "]
+    case = [str.lower, str.upper, str.title, str]
+    texts = ["", " \n", "...", None] + ["".join(r.choice(case)(r.choice(bits)) + r.choice(glue) for _ in range(r.randrange(1, 40))) for _ in range(400)]
+    c, ws = F.col("t"), tx.WS
+
+    def plain(rules):
+        t = c
+        for a, b in rules:
+            end = r"(?![A-Za-z0-9_])" if a[-1].isalnum() or a[-1] in "_)" else "(?=[A-Za-z0-9_])"
+            t = F.regexp_replace(t, ("" if a.startswith(("I'", "I ")) else "(?i)") + r"(?<![A-Za-z0-9_])" + a + end, b)
+        return t
+
+    trim = lambda x: F.regexp_replace(x, rf"^[{ws}]+|[{ws}]+\z", "")
+    full = lambda x: F.filter(x, lambda y: y != "")
+    kept = F.regexp_extract_all(c, F.lit(r"[^.!?]+[.!?]+|[^.!?]+\z"), 0)
+    pairs = {
+        "trim": (tx.trim(c), trim(c)),
+        "words": (tx.words(c), full(F.split(F.regexp_replace(F.lower(c), rf"[^a-z0-9'{ws}-]", " "), rf"[{ws}]+"))),
+        "word_count": (tx.word_count(c), F.size(full(F.split(trim(c), rf"[{ws}]+")))),
+        "sentences": (tx.sentences(c), full(F.transform(F.split(c, rf"(?<=[.!?])[{ws}]+"), trim))),
+        "kept": (tx.sentences_kept(c), F.when(F.size(kept) == 0, F.array(trim(c))).otherwise(full(F.transform(kept, trim)))),
+        "closed": (rewrite.closed_up(c), F.regexp_replace(F.regexp_replace(c, rf"[{ws}]{{2,}}", " "), rf"[{ws}]+([,.!?;:])", "$1")),
+        "start": (tx.trimmed_start(c, 45), F.left(trim(c), F.lit(45))),
+        **{f"rules{i}": (rewrite.replaced(c, rules), plain(rules)) for i, rules in enumerate(lists)},
+        **{k: (tx.count_matches(c, tx.any_of(v)), tx.count_matches(c, r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(t + (r"(?![A-Za-z0-9_])" if t[-1].isalnum() else "(?=[A-Za-z0-9_])") for t in v) + ")")) for k, v in (("contractions", lx.CONTRACTIONS), ("informal", lx.INFORMAL), ("formal", lx.FORMAL), ("first", lx.FIRST_PERSON))},
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).persist()
+    for name, (ours, theirs) in pairs.items():
+        wrong = df.select("t", ours.alias("ours"), theirs.alias("theirs")).filter(~F.col("ours").eqNullSafe(F.col("theirs"))).collect()
+        assert not wrong, (name, wrong[0])
+    df.unpersist()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
