@@ -40,6 +40,8 @@ _THREE_WORDS = r"^(?:[^a-z0-9'-]*+[a-z0-9'-]++){0,3}"
 #: carries on what was pending before it; a sample of nothing else hands it to the next sample.
 _RUN = "been"
 _PLACES = 1 << 31
+#: A sample's end with an end mark.
+ENDED = rf"[.!?][{tx.WS}]*\z"
 
 
 def openers(sentence: Column) -> Column:
@@ -68,7 +70,7 @@ def _samples(df: DataFrame, words: bool = True, sentences: bool = True, counts:
     t = t.withColumn("w", tx.words(text)) if words else t
     t = t.withColumn("s", tx.sentences(text)) if sentences else t
     t = tx.settled(t)
-    ends = text.rlike(rf"[.!?][{tx.WS}]*\z")
+    ends = text.rlike(ENDED)
     oldest = F.lit("9223372036854775808").cast("decimal(20,0)")
     start = F.coalesce(-F.col("ord").cast("decimal(20,0)"), oldest) * F.lit(_PLACES).cast("decimal(10,0)")
     picked = ["author", "ord", start.alias("start")]
@@ -224,6 +226,19 @@ def summary(p: dict[str, Column]) -> Column:
     return F.array_join(bits, " ")
 
 
+def _metrics(n: dict[str, Column]) -> dict[str, Column]:
+    """Unrounded rates from an author's sums, which are null without a sample that is not blank."""
+    zero = lambda c: F.coalesce(n[c], F.lit(0))
+    w = F.greatest(zero("n_w"), F.lit(1))
+    s = F.greatest(zero("n_s") - zero("open") + zero("oldest_open"), F.lit(1))
+    rate = {k: zero(k) / (s if k in ("questions", "exclamations") else w) for k in COUNTS}
+    return rate | {"w": w, "s": s, "sentence": w / s, "formality": tx.clamp(0.5 + (zero("formal") - zero("informal") * 1.4) / s * 0.35)}
+
+
+def _transitions(has: list[Column]) -> Column:
+    return F.slice(F.array_compact(F.array(*[F.when(h, t) for h, t in zip(has, lx.TRANSITIONS, strict=True)])), 1, SHOWN_TRANSITIONS)
+
+
 def profiles(df: DataFrame) -> DataFrame:
     """One row per author of df (author, ord, text; larger ord is newer): the 18 metrics and `summary`.
 
@@ -245,12 +260,10 @@ def profiles(df: DataFrame) -> DataFrame:
     for side in (sums, distinct, top, _border_passives(e)):
         out = out.join(side.withColumnRenamed("author", "_a"), F.col("author").eqNullSafe(F.col("_a")), "left").drop("_a")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    w = F.greatest(zero("n_w"), F.lit(1))
-    s = F.greatest(zero("n_s") - zero("open") + zero("oldest_open"), F.lit(1))
-    rate = {n: zero(n) / (s if n in ("questions", "exclamations") else w) for n in COUNTS}
+    rate = _metrics({n: F.col(n) for n in ("n_w", "n_s", "open", "oldest_open", *COUNTS)})
+    w, s, sentence, formality = (rate[k] for k in ("w", "s", "sentence", "formality"))
     passive = (zero("passives") + zero("border_passives")) / s
-    formality = tx.clamp(0.5 + (zero("formal") - zero("informal") * 1.4) / s * 0.35)
-    richness, sentence = zero("distinct_words") / w, w / s
+    richness = zero("distinct_words") / w
     none = F.array().cast("array<string>")
     values = {
         "avg_sentence_length": tx.half_up(sentence, 2),
@@ -265,7 +278,7 @@ def profiles(df: DataFrame) -> DataFrame:
         "first_person_rate": tx.half_up(rate["first_person"], 4),
         "passive_voice_hint": tx.half_up(passive, 3),
         "formality_score": tx.half_up(formality, 3),
-        "common_transitions": F.slice(F.array_compact(F.array(*[F.when(F.col(f"t{i}"), t) for i, t in enumerate(lx.TRANSITIONS)])), 1, SHOWN_TRANSITIONS),
+        "common_transitions": _transitions([F.col(f"t{i}") for i in range(len(lx.TRANSITIONS))]),
         "signature_phrases": F.coalesce("signature_phrases", none),
         "preferred_openers": F.coalesce("preferred_openers", none),
         "tone_notes": tone_notes(sentence, rate["contractions"], formality, rate["first_person"], rate["questions"], rate["dashes"], rate["semicolons"], richness),
@@ -276,6 +289,33 @@ def profiles(df: DataFrame) -> DataFrame:
     return out.withColumn("summary", summary({c: F.col(c) for c in out.columns}))
 
 
+def for_rewriting(df: DataFrame) -> DataFrame:
+    """What rewriting reads of `profiles(df)`, the same values: one pass over the samples and a row an author and task
+    shuffled, without n-grams, openers or distinct words. tone_notes are the first two, all that rewriting shows; those are
+    always the ones on sentence length and contractions."""
+    text = F.col("text")
+    t = df.select("author", "ord", F.when(tx.trim(text) != "", text).alias("text"))
+    low = [F.contains(F.lower("text"), F.lit(x)).alias(f"t{i}") for i, x in enumerate(lx.TRANSITIONS)]
+    is_open = (~text.rlike(ENDED)).cast("long")
+    size = lambda c: F.when(text.isNotNull(), F.size(c))
+    each = t.select("author", "ord", size(tx.words(text)).alias("n_w"), size(tx.sentences(text)).alias("n_s"), is_open.alias("open"), *counted(text), *low)
+    sums = [F.sum(F.col(n).cast("long")).alias(n) for n in ("n_w", "n_s", "open", *COUNTS)]
+    # of samples that are not blank, as open is null for others
+    oldest = F.min_by("open", F.when(F.col("open").isNotNull(), F.col("ord"))).alias("oldest_open")
+    a = each.groupBy("author").agg(F.count("*").cast("int").alias("sample_count"), *sums, oldest, *[F.max(f"t{i}").alias(f"t{i}") for i in range(len(lx.TRANSITIONS))])
+    m = _metrics({n: F.col(n) for n in ("n_w", "n_s", "open", "oldest_open", *COUNTS)})
+    none = F.lit(0.0)
+    return a.select(
+        "author",
+        tx.half_up(m["sentence"], 2).alias("avg_sentence_length"),
+        tx.half_up(m["contractions"], 4).alias("contraction_rate"),
+        tx.half_up(m["formality"], 3).alias("formality_score"),
+        _transitions([F.col(f"t{i}") for i in range(len(lx.TRANSITIONS))]).alias("common_transitions"),
+        F.slice(tone_notes(m["sentence"], m["contractions"], none, none, none, none, none, none), 1, 2).alias("tone_notes"),
+        "sample_count",
+    )
+
+
 def scalar_profile(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sentence length, word length, richness and words of single texts, without a shuffle."""
     t = df.select(F.col(id_col), F.col(text_col).alias("_t")).withColumn("_w", tx.words(F.col("_t"))).withColumn("_s", tx.sentences(F.col("_t")))

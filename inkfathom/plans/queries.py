@@ -15,7 +15,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import profile, rewrite
 from ..sources import store
-from ..sources.shared import scratch
+from ..sources.shared import scratch, written
 
 SEEDS = (
     "",
@@ -341,9 +341,9 @@ def rewrite_no_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _full(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles are written first: their size is then known, and drafts are not dealt out by author to join few of them."""
     drafts = _seeded(spark, d).select("doc_id", F.col("source").alias("author"), "text")
-    p = profile.profiles(_authors(spark, d))
-    return rewrite.rewrite(drafts, _spread(p))
+    return rewrite.rewrite(drafts, written(_spread(profile.for_rewriting(_authors(spark, d))), "profiles"))
 
 
 def _spread(p: DataFrame) -> DataFrame:

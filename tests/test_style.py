@@ -175,6 +175,24 @@ def test_scratch_tables(spark, tmp_path, monkeypatch):
         shared.shared_root(SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: none)))
 
 
+@pytest.mark.parametrize("name", ["rewrite_notes", "rewrite_full"])
+def test_rewriting_counts_no_ngrams(spark, monkeypatch, name):
+    """Rewriting reads nothing of a profile that n-grams, openers or distinct words are needed for."""
+    monkeypatch.setattr(profile, "gram_counts", lambda *a: pytest.fail("n-grams are counted"))
+    assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_profiles_for_rewriting(spark):
+    r = random.Random(5)
+    bits = ["However,", "I'm", "gonna", "it's.", "on the other hand", "therefore", "word", "Yes!", "\n\n", "so. ", "?", "ch\u00e9 ", "like, "]
+    texts = [" ".join(r.choice(bits) for _ in range(r.randrange(1, 30))) for _ in range(60)] + [None, " \n", "", "\u00a0"]
+    rows = [(r.choice(["a", "b", None]), i, t) for i, t in enumerate(texts)] + [("blank", 1, None), ("blank", 2, " \t")]
+    df = spark.createDataFrame(rows, "author string, ord bigint, text string")
+    whole = profile.profiles(df).select("author", *rewrite.READ).withColumn("tone_notes", F.slice("tone_notes", 1, 2))
+    got = profile.for_rewriting(df).select("author", *rewrite.READ)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect())) and got.count() == 4
+
+
 def test_text_functions_as_plain_patterns(spark):
     """Rules, counts and splitters give what their plain patterns give, on text of terms, odd white space and odd letters."""
     r = random.Random(9)
