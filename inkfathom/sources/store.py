@@ -46,12 +46,12 @@ def gated(df: DataFrame) -> DataFrame:
     title = F.when(is_file & unset, F.when(stem == "", UPLOADED).otherwise(stem)).when(asked == "", UNTITLED).otherwise(asked)
     plain = F.lower(name).rlike(r"\.(txt|md|markdown|text)\z")
     bad_type = is_file & ~plain & (text("mime") != "") & ~text("mime").startswith("text/")
-    content = tx.trim(F.when(is_file, F.replace(text("content"), F.lit("\0"), F.lit(""))).otherwise(text("content")))
-    reason = F.when(bad_type, "file_type").when(is_file & (F.coalesce(F.col("bytes"), F.lit(0)) > lx.MAX_BYTES), "file_size").when(F.length(content) < lx.MIN_CHARS, "too_short")
-    stored = F.left(content, F.lit(lx.MAX_CHARS))
+    content = F.when(is_file, F.replace(text("content"), F.lit("\0"), F.lit(""))).otherwise(text("content"))
+    stored = tx.let(content, lambda c: tx.trimmed_start(c, lx.MAX_CHARS))
+    reason = F.when(bad_type, "file_type").when(is_file & (F.coalesce(F.col("bytes"), F.lit(0)) > lx.MAX_BYTES), "file_size").when(F.length("_stored") < lx.MIN_CHARS, "too_short")
     source = F.when(is_file | (is_json & (text("source") == "upload")), "upload").otherwise("paste")
-    columns = {"title": title, "content": stored, "source": source, "word_count": tx.word_count(stored).cast("int"), "reason": reason}
-    return df.select(*[c for c in df.columns if c not in columns], *[c.alias(n) for n, c in columns.items()])
+    columns = {"title": title, "content": F.col("_stored"), "source": source, "word_count": tx.word_count(F.col("_stored")).cast("int"), "reason": reason}
+    return tx.settled(df.withColumn("_stored", stored)).select(*[c for c in df.columns if c not in columns], *[c.alias(n) for n, c in columns.items()])
 
 
 def within_capacity(accepted: DataFrame, existing: DataFrame, order: str, most: int = lx.MAX_SAMPLES) -> DataFrame:

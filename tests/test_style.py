@@ -231,6 +231,13 @@ def test_text_functions_as_plain_patterns(spark):
     df.unpersist()
 
 
+def test_long_runs_of_white_space(spark):
+    """A long run inside a text is not searched again from each of its places."""
+    text, began = "word " + " \u00a0" * 250_000 + "more" + " " * 250_000, time.time()
+    row = store.gated(spark.createDataFrame([("json", "T", text), ("json", "T", "x" * 39 + " \n" * 100_000)], "kind string, title string, content string").withColumns({c: F.lit("") for c in ("source", "file_name", "mime")}).withColumn("bytes", F.lit(0))).collect()
+    assert [(len(x.content), x.word_count, x.reason) for x in row] == [(50_000, 1, None), (39, 1, "too_short")] and time.time() - began < 30
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
